@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import read
+from siltstone.llm.common import read, scratch_uri
+from siltstone.llm.htmltext import extract
+from siltstone.llm.langid import fit_profiles, identify
+from siltstone.llm.line_dedup import ORACLE as LINE_SQL
+from siltstone.llm.line_dedup import dedup_lines
+from siltstone.llm.minhash import near_duplicates
+from siltstone.llm.quality import ORACLE as QUALITY_SQL
+from siltstone.llm.quality import quality
 from siltstone.llm.substring_dedup import remove_repeats
+from siltstone.llm.warczip import read_packages, write_packages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -40,3 +48,57 @@ kept AS (
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
 """
+
+
+@query
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), shingle_words=3, percent=85, bands=25, rows=5)
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents")).drop("clean_text")
+
+
+ORACLE_SQL["op3_quality_rules"] = QUALITY_SQL
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    share = F.crc32(F.col("doc_id").cast("string")) % 3
+    profiles = fit_profiles(docs.where(share != 1))
+    return identify(docs.select("doc_id", "text"), profiles).select("doc_id", F.coalesce(share == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
+
+
+@query
+def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = scratch_uri(spark, "warc")
+    packages = write_packages(read(spark, sf_dir, "pages"), uri, min_revisit_bytes=0)
+    return read_packages(spark, packages, uri, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL["op10_warc_zip"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS x, max(page_id) OVER (PARTITION BY sha1(b)) AS last FROM p)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(x, (i // 4 * 5 + 1)::INT, 5))::INT >> (15 - i % 4 * 5)::INT) & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM h
+"""
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op4_line_dedup"] = LINE_SQL
