@@ -21,60 +21,22 @@ Hashes have 64 bits: among n windows about n**2 / 2**65 pairs collide (0.0005 fo
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import words as W
 from siltstone.llm.common import shuffle_partitions
+from siltstone.llm.packed import NULL_ID, mark, pack, unpacked
 
 FLUSH = 1_000_000
+WITNESS = 0xFFFFFFFF  # stands for a position that was flagged before
 _ENTRY = np.dtype([("h", "<u8"), ("doc", "<i8"), ("th", "<i4"), ("pos", "<u4")])
-_NULL_ID = np.iinfo(np.int64).max
-
-
-def _mark(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "little", signed=True)
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (doc, th, no_id, z): text hash and compressed text."""
-    pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        ids, texts = batch.column(0).cast(pa.int64()), batch.column(1).to_pylist()
-        raw = [None if t is None else t.encode() for t in texts]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pc.fill_null(ids, int(_NULL_ID)),
-                pa.array([0 if r is None else _mark(r) for r in raw], pa.int32()),
-                ids.is_null(),
-                pa.array([None if r is None else pack.compress(r) for r in raw], pa.binary()),
-            ],
-            names=["doc", "th", "no_id", "z"],
-        )
-
-
-def _texts(batch: pa.RecordBatch, limit: int = W.PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Pieces (first row, end row, bytes, offsets) of the compressed texts in column z."""
-    unpack = zstandard.ZstdDecompressor()
-    column = batch.column(batch.schema.get_field_index("z"))
-    rows, size, a = [], 0, 0
-    for i, z in enumerate(column):
-        z = z.as_buffer()
-        raw = b"" if z is None or z.size == 0 else unpack.decompress(z)
-        rows.append(raw)
-        size += len(raw)
-        if size >= limit or i == len(column) - 1:
-            offsets = np.zeros(len(rows) + 1, dtype=np.int64)
-            np.cumsum([len(r) for r in rows], out=offsets[1:])
-            yield a, i + 1, np.frombuffer(b"".join(rows), dtype=np.uint8), offsets
-            rows, size, a = [], 0, i + 1
+BUCKETS = 1024
 
 
 def _seeds(hashes: np.ndarray, seed_words: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +82,7 @@ class _Sender:
             sent = entries[keep]
         else:  # one witness for each hash that is already known to repeat; its position is flagged here
             sent = entries[keep].copy()
-            sent["pos"][known] = 0xFFFFFFFF
+            sent["pos"][known] = WITNESS
         bucket = ((sent["h"] >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)
         order = np.argsort(bucket, kind="stable")
         sent, bucket = sent[order], bucket[order]
@@ -168,75 +130,65 @@ def resolve(entries: np.ndarray, earliest: bool) -> tuple[np.ndarray, np.ndarray
     return order[heads], order[repeated[group]], repeated
 
 
-def _reduce(buckets: int, earliest: bool):
+def _reduce(earliest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
-        ready: list[np.ndarray] = []
-        at, n_ready = None, 0
+        at = None
 
-        def close():
-            nonlocal n_ready
+        def close() -> Iterator[pa.RecordBatch]:
             e = np.frombuffer(b"".join(held), dtype=_ENTRY)
             held.clear()
             if not len(e):
                 return
             if earliest:
-                found = e[resolve(e, True)[1]]
-            else:
-                _, inverse, counts = np.unique(e["h"], return_inverse=True, return_counts=True)
-                witness = np.bincount(inverse, weights=e["pos"] == 0xFFFFFFFF) > 0
-                places = resolve(e, False)
-                several = np.zeros(len(e), dtype=bool)
-                several[places[1]] = True
-                found = e[(several | witness[inverse]) & (e["pos"] != 0xFFFFFFFF)]
-            if len(found):
-                ready.append(found)
-                n_ready += len(found)
+                yield _places(e[resolve(e, True)[1]])
+                return
+            _, inverse = np.unique(e["h"], return_inverse=True)
+            witness = np.bincount(inverse, weights=e["pos"] == WITNESS) > 0
+            several = np.zeros(len(e), dtype=bool)
+            several[resolve(e, False)[1]] = True
+            yield _places(e[(several | witness[inverse]) & (e["pos"] != WITNESS)])
 
         for batch in batches:
-            passed = []
             for bucket, doc, th, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != at:
-                    close()
+                    yield from close()
                     at = bucket
-                    if n_ready >= FLUSH:
-                        yield from flag_rows(np.concatenate(ready), buckets)
-                        ready, n_ready = [], 0
                 if doc is None:
                     held.append(blob)
                 else:
-                    passed.append((bucket, doc, th, blob))
-            if passed:
-                b, d, t, blobs = zip(*passed, strict=True)
-                yield _rows(b, (d, t), blobs)
-        close()
-        if ready:
-            yield from flag_rows(np.concatenate(ready), buckets)
+                    known = np.empty(len(blob) // 4, dtype=_ENTRY)
+                    known["doc"], known["th"], known["pos"] = doc, th, np.frombuffer(blob, dtype="<u4")
+                    yield _places(known)
+        yield from close()
 
     return run
 
 
-def _positions(blobs) -> np.ndarray:
-    raw = b"".join(blobs or [])
-    return np.frombuffer(raw, dtype="<u4").astype(np.int64)
+def _places(entries: np.ndarray) -> pa.RecordBatch:
+    arrays = [pa.array(np.ascontiguousarray(entries["doc"])), pa.array(np.ascontiguousarray(entries["th"])), pa.array(entries["pos"].astype(np.int32))]
+    return pa.RecordBatch.from_arrays(arrays, names=["doc", "th", "pos"])
 
 
 _ROW = "bucket int, doc long, th int, blob binary"
 
 
-def _resolved(mapped: DataFrame, parts: int, buckets: int, earliest: bool) -> DataFrame:
+def _resolved(mapped: DataFrame, parts: int, earliest: bool) -> DataFrame:
     """Bring equal hashes together and return (doc, th, places): the flagged positions of each document."""
     dealt = mapped.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_reduce(buckets, earliest), _ROW).groupBy("doc", "th").agg(F.collect_list("blob").alias("places"))
+    return dealt.mapInArrow(_reduce(earliest), "doc long, th int, pos int").groupBy("doc", "th").agg(F.collect_list("pos").alias("places"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, seed_words: int = 6) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, seed_words: int = 6, buckets: int = BUCKETS) -> DataFrame:
     """Remove every word covered by a ``window``-word run that starts earlier in the corpus.
 
     Earlier means a smaller id, or the same document at an earlier word; windows are judged on the input.
     Returns one row for each input row: ``id_col``, ``n_words``, ``n_removed``, ``spans`` (removed word intervals
     ``[start, end)``, maximal and in order) and ``kept_text`` (kept words joined by one space).
 
+    ``buckets`` is the number of hash ranges that are compared one at a time: a task holds one range's entries, about
+    24 bytes for each repeated-seed window of the corpus divided by ``buckets``.
+
     Edge cases: a null or blank text has no words and keeps the empty text; a text shorter than the window keeps
     all words. Rows with a null id come after all others. Rows with equal id and text are one document and get the
     same answer; rows with equal id and different texts are different documents in an arbitrary but fixed order.
@@ -244,23 +196,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    buckets = 8 * parts
 
-    packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_packed, "doc long, th int, no_id boolean, z binary")
+    packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pack, "id long, th int, no_id boolean, z binary").withColumnRenamed("id", "doc")
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Sender(buckets, earliest=False)
         for batch in batches:
             doc, raw = batch.column(0).cast(pa.int64()), batch.column(1)
             data, offsets = W.text_bytes(raw)
-            doc = np.asarray(pc.fill_null(doc, int(_NULL_ID)))
+            doc = np.asarray(pc.fill_null(doc, int(NULL_ID)))
             for a, b in W.pieces(offsets):
                 part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 starts, ends, word_off = W.word_spans(part, off)
                 index, counts = W.valid_windows(word_off, window)
                 if not len(index):
                     continue
-                marks = np.array([_mark(part[off[i] : off[i + 1]].tobytes()) if counts[i] else 0 for i in range(b - a)], dtype=np.int32)
+                marks = np.array([mark(part[off[i] : off[i + 1]].tobytes()) if counts[i] else 0 for i in range(b - a)], dtype=np.int32)
                 runs, least = _seeds(W.word_hashes(part, starts, ends), seed_words, window)
                 chosen = np.unique(least[index])
                 row = np.searchsorted(word_off, chosen, side="right") - 1
@@ -272,7 +223,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             doc, th = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             places = batch.column(3)
-            for a, b, part, off in _texts(batch):
+            for a, b, part, off in unpacked(batch):
                 starts, ends, word_off = W.word_spans(part, off)
                 index, counts = W.valid_windows(word_off, window)
                 if not len(index):
@@ -281,7 +232,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 _, least = _seeds(hashes, seed_words, window)
                 seeded = np.zeros(len(hashes) + 1, dtype=bool)
                 for i in range(a, b):
-                    seeded[word_off[i - a] + _positions(places[i].as_py())] = True
+                    seeded[word_off[i - a] + places[i].values.to_numpy()] = True
                 index = index[seeded[least[index]]]
                 row = np.searchsorted(word_off, index, side="right") - 1
                 yield from out.add(W.window_hashes(hashes, window)[index], doc[a:b][row], th[a:b][row], index - word_off[row])
@@ -290,12 +241,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places = batch.column(4)
-            for a, b, part, off in _texts(batch):
+            for a, b, part, off in unpacked(batch):
                 starts, ends, word_off = W.word_spans(part, off)
                 edge = np.zeros(len(starts) + window + 1, dtype=np.int32)
                 for i in range(a, b):
                     if places[i].is_valid:
-                        p = np.unique(_positions(places[i].as_py())) + word_off[i - a]
+                        p = np.unique(places[i].values.to_numpy()) + word_off[i - a]
                         edge[p] += 1
                         edge[p + window] -= 1
                 gone = np.cumsum(edge)[: len(starts)] > 0
@@ -310,9 +261,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = packed.repartition(parts, "doc", "th")
-    seeded = _resolved(plain.mapInArrow(seeds, _ROW), parts, buckets, earliest=False)
+    seeded = _resolved(plain.mapInArrow(seeds, _ROW), parts, earliest=False)
     candidates = texts.join(seeded, ["doc", "th"]).select("doc", "th", "z", "places")
-    repeated = _resolved(candidates.mapInArrow(windows, _ROW), parts, buckets, earliest=True)
+    repeated = _resolved(candidates.mapInArrow(windows, _ROW), parts, earliest=True)
     marked = texts.join(repeated, ["doc", "th"], "left").select("doc", "th", "no_id", "z", "places")
     out = marked.mapInArrow(cut_out, "id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string")
     return out.withColumnRenamed("id", id_col)
