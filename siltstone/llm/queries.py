@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import read, scratch_uri
+from siltstone.llm.decontaminate import contaminated
 from siltstone.llm.htmltext import extract
 from siltstone.llm.langid import fit_profiles, identify
+from siltstone.llm.licenses import scan_licenses
 from siltstone.llm.line_dedup import ORACLE as LINE_SQL
 from siltstone.llm.line_dedup import dedup_lines
 from siltstone.llm.minhash import near_duplicates
+from siltstone.llm.mixing import mix
 from siltstone.llm.quality import ORACLE as QUALITY_SQL
 from siltstone.llm.quality import quality
 from siltstone.llm.substring_dedup import remove_repeats
@@ -102,3 +105,58 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op4_line_dedup"] = LINE_SQL
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "license", "coverage", "matched_words", "start_word", "end_word", "start_byte", "end_byte")
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+DOMAIN = "case cast(try_cast(substr(source, 4) as int) % 3 as int) when 0 then 'web' when 1 then 'books' when 2 then 'forums' end"
+WEIGHTS = {("web",): 5, ("books",): 3, ("forums",): 2, **{(d, x): w for d in ("web", "books", "forums") for x, w in (("en", 4), ("de", 2), ("fr", 2), ("es", 1))}}
+
+
+@query
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = {"domain": F.expr(DOMAIN), "lang": F.col("lang"), "source": F.col("source")}
+    return mix(read(spark, sf_dir, "documents"), path, WEIGHTS, F.expr("all_tokens * 6 div 10"), max_epochs=3, seed="mix-1")
+
+
+def _fill(name: str, parent: str, here: str, weight: str) -> str:
+    """SQL of one level: siblings below each parent filled in order of capacity over weight."""
+    up = f"PARTITION BY {parent}" if parent else ""
+    return f"""
+{name}_n AS (SELECT {here}, sum(cap)::BIGINT AS cap, {weight} AS w FROM leaf GROUP BY {here}),
+{name}_b AS (SELECT n.*, p.budget FROM {name}_n n {f"JOIN {name}_p p USING ({parent})" if parent else f"CROSS JOIN {name}_p p"}),
+{name}_o AS (SELECT *, row_number() OVER o AS k, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s,
+             sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM {name}_b WINDOW o AS ({up} ORDER BY cap / w, {here.split(", ")[-1]})),
+{name}_a AS (SELECT *, min(CASE WHEN cap * ws > w * (budget - s) THEN k END) OVER ({up}) AS at FROM {name}_o),
+{name} AS (SELECT a.{here.replace(", ", ", a.")}, (CASE WHEN a.at IS NULL OR a.k < a.at THEN a.cap ELSE a.w * (a.budget - t.s) // t.ws END)::BIGINT AS budget
+           FROM {name}_a a LEFT JOIN {name}_a t ON t.k = a.at {"".join(f" AND t.{c} = a.{c}" for c in parent.split(", ") if c)})"""
+
+
+ORACLE_SQL["op9_source_mixing"] = rf"""
+WITH d AS (
+  SELECT doc_id, CASE TRY_CAST(substr(source, 4) AS INT) % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'books' WHEN 2 THEN 'forums' ELSE '(none)' END AS domain,
+         coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens
+  FROM documents),
+leaf AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, 3 * sum(tokens)::BIGINT AS cap FROM d WHERE tokens > 0 GROUP BY ALL),
+l1_p AS (SELECT (sum(tokens) * 6 // 10)::BIGINT AS budget FROM leaf),
+{_fill("l1", "", "domain", "CASE domain WHEN 'web' THEN 5 WHEN 'books' THEN 3 WHEN 'forums' THEN 2 ELSE 1 END")},
+l2_p AS (SELECT * FROM l1),
+{_fill("l2", "domain", "domain, lang", "CASE WHEN domain = '(none)' THEN 1 WHEN lang = 'en' THEN 4 WHEN lang IN ('de', 'fr') THEN 2 ELSE 1 END")},
+l3_p AS (SELECT * FROM l2),
+{_fill("l3", "domain, lang", "domain, lang, source", "1")},
+e AS (SELECT d.*, budget // leaf.tokens AS epochs, budget % leaf.tokens AS rest FROM d JOIN leaf USING (domain, lang, source) JOIN l3 USING (domain, lang, source) WHERE d.tokens > 0),
+f AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('mix-1:' || epochs || ':' || coalesce(doc_id::VARCHAR, 'null')), tokens
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM e)
+SELECT doc_id, domain, lang, source, epochs::INT AS epoch, tokens FROM f WHERE upto <= rest
+UNION ALL
+SELECT doc_id, domain, lang, source, k::INT AS epoch, tokens FROM e, unnest(range(epochs::BIGINT)) AS u(k)
+"""
