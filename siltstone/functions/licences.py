@@ -25,12 +25,16 @@ def licence_class(text: Column) -> Column:
 
 
 def expression_class(expression: Column) -> Column:
-    """Class of a licence expression: ``OR`` takes the most permissive side, ``AND`` the most restrictive."""
+    """Class of a licence expression: ``OR`` takes the most permissive side, ``AND`` the most restrictive.
+
+    ``AND`` binds closer; one level of parentheses is followed.
+    """
     order = F.array(*map(F.lit, CLASSES))
     place = lambda x: F.array_position(order, licence_class(x)).cast("int")
-    plain = F.regexp_replace(F.coalesce(expression, F.lit("")), r"[()]", "")
-    options = F.transform(F.split(plain, r"(?i)\s+or\s+"), lambda o: F.array_max(F.transform(F.split(o, r"(?i)\s+and\s+"), place)))
-    return F.element_at(order, F.array_min(options))
+    either = lambda x, part: F.array_min(F.transform(F.split(x, r"(?i)\s+or\s+(?![^(]*\))"), part))
+    every = lambda x, part: F.array_max(F.transform(F.split(x, r"(?i)\s+and\s+(?![^(]*\))"), part))
+    inner = lambda x: either(F.regexp_replace(x, r"^\s*\(|\)\s*$", ""), lambda o: every(o, place))
+    return F.element_at(order, either(F.coalesce(expression, F.lit("")), lambda o: every(o, inner)))
 
 
 def undecided(cls: Column, name: Column, allowed: list[str]) -> Column:

@@ -27,22 +27,25 @@ def _pick(vector: Column, metric: str, table: dict[str, float]) -> Column:
     return out
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once (as a lambda variable), which keeps generated code small."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _round_up(x: Column) -> Column:
     """The specification's round-up to one decimal, in integers."""
-    whole = F.round(x * 100000).cast("long")
-    return F.when(whole % 10000 == 0, whole / 100000.0).otherwise((F.floor(whole / 10000) + 1) / 10.0)
+    return _once(F.round(x * 100000).cast("long"), lambda whole: F.when(whole % 10000 == 0, whole / 100000.0).otherwise((F.floor(whole / 10000) + 1) / 10.0))
 
 
 def base_score(vector: Column) -> Column:
     """Base score of a CVSS 3.0 or 3.1 vector; null for other versions and malformed vectors."""
     changed = vector.rlike("/S:C/")
     miss = (1 - _pick(vector, "C", WEIGHTS["C"])) * (1 - _pick(vector, "I", WEIGHTS["I"])) * (1 - _pick(vector, "A", WEIGHTS["A"]))
-    base = 1 - miss
-    impact = F.when(changed, 7.52 * (base - 0.029) - 3.25 * F.pow(base - 0.02, F.lit(15))).otherwise(6.42 * base)
+    impact = _once(1 - miss, lambda base: F.when(changed, 7.52 * (base - 0.029) - 3.25 * F.pow(base - 0.02, F.lit(15))).otherwise(6.42 * base))
     privileges = F.when(changed, _pick(vector, "PR", WEIGHTS["PR_CHANGED"])).otherwise(_pick(vector, "PR", WEIGHTS["PR"]))
     ease = 8.22 * _pick(vector, "AV", WEIGHTS["AV"]) * _pick(vector, "AC", WEIGHTS["AC"]) * privileges * _pick(vector, "UI", WEIGHTS["UI"])
-    total = F.when(changed, F.least(1.08 * (impact + ease), F.lit(10.0))).otherwise(F.least(impact + ease, F.lit(10.0)))
-    return F.when(vector.rlike(VALID), F.when(impact <= 0, F.lit(0.0)).otherwise(_round_up(total)))
+    total = lambda part: F.least(F.when(changed, 1.08).otherwise(1.0) * (part + ease), F.lit(10.0))
+    return F.when(vector.rlike(VALID), _once(impact, lambda part: F.when(part <= 0, F.lit(0.0)).otherwise(_round_up(total(part)))))
 
 
 def label(score: Column) -> Column:

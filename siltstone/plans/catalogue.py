@@ -1,4 +1,9 @@
 """Registered queries of the library and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from siltstone.plans import aggregates, graphs, joins, records, texts
+
+FAMILIES = (joins, aggregates, graphs, texts, records)
+QUERIES = {name: f for family in FAMILIES for name, f in family.QUERIES.items()}
+ORACLE_SQL = {name: sql for family in FAMILIES for name, sql in family.ORACLE_SQL.items()}
