@@ -6,10 +6,12 @@ Stages, each on distributed tables:
    of universal hashes ``a * x + b mod 2**32``, folded into one key a band and a 1-bit sketch of 128 minima.
 2. Documents with equal sets form a class at once; only one document of a class goes on, so exact copies cost
    nothing more, however many there are.
-3. Classes with a band key in common are candidates. They are not paired with each other: in each bucket they
-   are held against one pivot, and what the components then leave apart against two further pivots, and what is
-   still apart against the bucket's other components. The last step is complete: no two classes of a bucket stay
-   apart without having been compared. A size bound and the sketch (six standard deviations) drop pairs first.
+3. Classes with a band key in common are candidates. In each bucket they are held against one pivot. Buckets in
+   which the components leave members apart go on: a document that shares less than the threshold of its shingles
+   with all the other members together can't be linked with any of them, and drops out (edited copies of a large
+   group do so one by one, not pair by pair). The rest is compared completely: members that buckets connect form a
+   cluster, clusters are cut into blocks of ``_BLOCK_SHINGLES``, and a task counts common shingles of one pair of
+   blocks over posting lists. It reports one link for each document and other component, never the pairs.
 4. A candidate pair becomes a link only if the full shingle sets confirm it.
 5. Large-star and small-star turn links into components.
 
@@ -33,6 +35,7 @@ from siltstone.llm.components import connected_components
 from siltstone.llm.packed import mark, pack, unpacked
 
 _MEMBERS = 400
+_BLOCK_SHINGLES = 400_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -144,6 +147,78 @@ def _confirm(size: int, lower: bool, percent: int):
     return run
 
 
+def _exploded(size: int, lower: bool):
+    """(id, z) to one row (id, h) for each shingle of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column(0))
+            for a, b, part, off in unpacked(batch):
+                sets, bounds = shingle_sets(part, off, size, lower)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:b], np.diff(bounds))), pa.array(sets.view(np.int64))], names=["id", "h"])
+
+    return run
+
+
+def _alone(ids: DataFrame, texts: DataFrame, size: int, lower: bool) -> DataFrame:
+    """(id, alone): how many shingles of each document none of the others in ``ids`` has."""
+    rows = texts.join(ids.select("id").distinct(), "id").select("id", "z").mapInArrow(_exploded(size, lower), "id long, h long")
+    return rows.groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
+
+
+def _block_links(placed: DataFrame, texts: DataFrame, parts: int, size: int, lower: bool, percent: int) -> DataFrame:
+    """Links (a, b) between different components of a cluster: (cluster, id, c, blocks, own block) and texts.
+
+    Every pair of blocks of a cluster is one group; a document goes to the ``blocks`` groups with its block.
+    """
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = placed.withColumn("other", other).join(texts, "id").select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "c", "z")
+    dealt = rows.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "own", "id")
+
+    def links(group, ids, components, sides, sets):
+        """Of each document of the first block, and each other component, the first link into the second block."""
+        counts = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), counts)
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        component, side = np.array(components), np.array(sides)
+        one_block = group[1] == group[2]
+        a, b = [], []
+        for k in range(len(sets)):
+            if not one_block and side[k] != group[1]:
+                continue
+            lo, hi = np.searchsorted(tokens, sets[k], "left"), np.searchsorted(tokens, sets[k], "right")
+            reps = hi - lo
+            common = np.bincount(owner[np.repeat(hi - np.cumsum(reps), reps) + np.arange(reps.sum())], minlength=len(sets))
+            near = (100 * common >= percent * (counts + counts[k] - common)) & (component != component[k])
+            if not one_block:
+                near &= side == group[2]
+            hits = np.flatnonzero(near)
+            _, firsts = np.unique(component[hits], return_index=True)
+            a += [ids[k]] * len(firsts)
+            b += [ids[h] for h in hits[firsts].tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, ([], [], [], [])
+        for batch in batches:
+            cluster, i, j, own, ids, c = (batch.column(k).to_pylist() for k in range(6))
+            for lo, hi, part, off in unpacked(batch):
+                sets, bounds = shingle_sets(part, off, size, lower)
+                for k in range(lo, hi):
+                    if (cluster[k], i[k], j[k]) != at:
+                        if held[0]:
+                            yield links(at, *held)
+                        at, held = (cluster[k], i[k], j[k]), ([], [], [], [])
+                    for column, value in zip(held, (ids[k], c[k], own[k], sets[bounds[k - lo] : bounds[k - lo + 1]].copy()), strict=True):
+                        column.append(value)
+        if held[0]:
+            yield links(at, *held)
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def _links(pairs: DataFrame, texts: DataFrame, parts: int, size: int, lower: bool, percent: int) -> DataFrame:
     """The pairs (p, x) whose full sets reach the threshold, as edges (a, b)."""
     crowd = pairs.groupBy("p").agg(F.ceil(F.count("*") / F.lit(_MEMBERS)).alias("salts"))
@@ -207,31 +282,31 @@ def near_duplicates(
     def grown(edges: DataFrame, pairs: DataFrame) -> DataFrame:
         return cut(edges.unionByName(_links(cut(candidates(pairs)), texts, parts, shingle_words, lower, percent)))
 
+    def still(members: DataFrame) -> DataFrame:
+        """Members of buckets in which several components are left."""
+        mixed = members.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 < c1").select("key", "size")
+        return members.drop("size").join(mixed, "key")
+
     def apart(edges: DataFrame) -> DataFrame:
         """Bucket members with their component, for buckets that still hold several."""
         labels = connected_components(edges)
         told = buckets.join(labels, buckets.id == labels.node, "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        mixed = told.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 < c1").select("key", "size")
-        return cut(told.join(mixed, "key"))
+        return cut(still(told))
 
     edges = grown(cut(shared_ids.distinct()), buckets.where("id <> p").select("p", F.col("id").alias("x")))
     left = apart(edges)
     if left.head(1):
-        for seed in (1, 2):
-            order = F.struct(F.xxhash64("id", F.lit(seed)).alias("o"), "id", "c")
-            pivot = left.groupBy("key").agg(F.min(order).alias("r")).select("key", F.col("r.id").alias("p"), F.col("r.c").alias("pc"))
-            edges = grown(edges, left.join(pivot, "key").where("c <> pc").select("p", F.col("id").alias("x")))
-        left = apart(edges)
+        sizes = facts.groupBy("id").agg(F.max("n").alias("n"), F.count("*").alias("sets"))
+        rare = _alone(left, texts, shingle_words, lower).join(sizes, "id")
+        hopeless = rare.where(f"sets = 1 and 100 * (n - alone) < {percent} * n").select("id")
+        left = cut(still(left.join(hopeless, "id", "left_anti")))
     if left.head(1):
-        # What is apart by now: each bucket's members against its other components, in blocks of the larger side.
-        blocks = F.expr("cast(ceil(size / 1000) as int)")
-        one = left.select("key", F.col("id").alias("p"), F.col("c").alias("pc"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-        other = left.select("key", F.col("id").alias("x"), F.col("c").alias("xc"), F.expr("cast(pmod(xxhash64(id), cast(ceil(size / 1000) as int)) as int)").alias("block"))
-        pf, xf = p.drop("p_th"), x.drop("x_th")
-        one = one.join(pf, F.col("p") == F.col("p_id"))
-        other = other.join(xf, F.col("x") == F.col("x_id"))
-        pairs = one.join(other, (one.key == other.key) & (one.block == other.block) & F.expr(f"pc <> xc and p < x and {near}")).select("p", "x").distinct()
-        edges = cut(edges.unionByName(_links(cut(pairs), texts, parts, shingle_words, lower, percent)))
+        first = left.groupBy("key").agg(F.min("id").alias("a"))
+        cluster = connected_components(left.join(first, "key").select("a", F.col("id").alias("b")))
+        members = left.select("id", "c").distinct().join(cluster, F.col("id") == F.col("node")).select("id", "c", F.col("component").alias("cluster")).join(sizes.select("id", "n"), "id")
+        blocks = members.groupBy("cluster").agg(F.expr(f"cast(ceil(sum(n) / {_BLOCK_SHINGLES}) as int)").alias("blocks"))
+        placed = cut(members.join(blocks, "cluster").select("cluster", "id", "c", "blocks", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("own")))
+        edges = cut(edges.unionByName(_block_links(placed, texts, parts, shingle_words, lower, percent)))
 
     labels = cut(connected_components(edges))
     reps = classes.join(labels, classes.id == labels.node, "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))

@@ -46,6 +46,7 @@ def test_against_brute_force(spark, documents, seed):
 def test_one_large_group_that_falls_apart(spark, documents, monkeypatch):
     """Edited copies of one text: many pairs below the threshold, pivots with members in several tasks."""
     monkeypatch.setattr(minhash, "_MEMBERS", 5)
+    monkeypatch.setattr(minhash, "_BLOCK_SHINGLES", 1200)
     rng = random.Random(5)
     base = prose(77, 150).split()
     rows = [(k, " ".join(rng.choice("xyz") if rng.random() < 0.02 else w for w in base)) for k in range(60)]
