@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import words as W
 from siltstone.llm.alignment import MATCH, plain_words, smith_waterman
+from siltstone.llm.common import bounded_batches, lean
 
 SEED_WORDS = 3
 THRESHOLD = 0.5
@@ -170,6 +171,7 @@ def contaminated(
     null. Without items or documents the result is empty. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = items.where(F.col(item_text_col).isNotNull()).select(F.coalesce(F.col(item_id_col).cast("long"), F.lit(int(_NULL_ITEM))).alias("item"), F.col(item_text_col).cast("string").alias("text"))
     found = None
@@ -177,9 +179,9 @@ def contaminated(
         part = _Items(block, seed_words)
         if not part.ids:
             continue
-        counted = texts.select("text").mapInArrow(_counter(part), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        counted = texts.select("text").mapInArrow(lean(_counter(part)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         counts = {r["gram"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in counted.collect()}  # at most the block's own n-grams
-        one = texts.mapInArrow(_matcher(part, part.seeds(counts, min_seeds), threshold), "id long, item long, score double, start long, end long")
+        one = texts.mapInArrow(lean(_matcher(part, part.seeds(counts, min_seeds), threshold)), "id long, item long, score double, start long, end long")
         found = one if found is None else found.unionByName(one)
     if found is None:
         found = spark.createDataFrame([], "id long, item long, score double, start long, end long")

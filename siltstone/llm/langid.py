@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import bounded_batches, lean, release
 from siltstone.llm.words import PIECE_BYTES
 
 PROFILE = 400
@@ -98,8 +99,9 @@ def fit_profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str = "t
     Rows with a null language or text are ignored; an empty table gives no profile. ``labelled`` has one row for
     each training text and may have other columns. All texts are counted.
     """
+    bounded_batches(labelled.sparkSession)
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counts = known.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = known.mapInArrow(lean(_counted), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= profile)
     found: dict[str, list[int]] = {}
     for row in ranked.orderBy("lang", "r").collect():
@@ -143,11 +145,13 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
     Null texts and texts without letters get ``und`` and 0. All rows and columns stay; columns already named like
     the two outputs are replaced.
     """
+    bounded_batches(docs.sparkSession)
     model = RankOrder(profiles, document_grams)
 
     @F.pandas_udf("lang string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         found = [model.score(g, c) for g, c in gram_counts([t if isinstance(t, str) else None for t in texts.tolist()])]
+        release()
         return pd.DataFrame(found, columns=["lang", "score"])
 
     told = docs.withColumn("__siltstone_lang", predict(F.col(text_col).cast("string")))

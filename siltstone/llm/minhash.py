@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import words as W
-from siltstone.llm.common import cut, scratch_uri, shuffle_partitions
+from siltstone.llm.common import bounded_batches, cut, lean, scratch_uri, shuffle_partitions
 from siltstone.llm.components import connected_components
 from siltstone.llm.packed import mark, pack, unpacked
 
@@ -162,7 +162,7 @@ def _exploded(size: int, lower: bool):
 
 def _alone(ids: DataFrame, texts: DataFrame, size: int, lower: bool) -> DataFrame:
     """(id, alone): how many shingles of each document none of the others in ``ids`` has."""
-    rows = texts.join(ids.select("id").distinct(), "id").select("id", "z").mapInArrow(_exploded(size, lower), "id long, h long")
+    rows = texts.join(ids.select("id").distinct(), "id").select("id", "z").mapInArrow(lean(_exploded(size, lower)), "id long, h long")
     return rows.groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
 
 
@@ -216,7 +216,7 @@ def _block_links(placed: DataFrame, texts: DataFrame, parts: int, size: int, low
         if held[0]:
             yield links(at, *held)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _links(pairs: DataFrame, texts: DataFrame, parts: int, size: int, lower: bool, percent: int) -> DataFrame:
@@ -227,7 +227,7 @@ def _links(pairs: DataFrame, texts: DataFrame, parts: int, size: int, lower: boo
     heads = dealt.select("p", "salt").distinct()
     pivots = heads.join(texts, heads.p == texts.id).select("p", "salt", F.lit(0).alias("tag"), "id", "z")
     rows = pivots.unionByName(members).repartition(parts, "p", "salt").sortWithinPartitions("p", "salt", "tag")
-    return rows.mapInArrow(_confirm(size, lower, percent), "a long, b long").distinct()
+    return rows.mapInArrow(lean(_confirm(size, lower, percent)), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -246,10 +246,11 @@ def near_duplicates(
     ignored, whatever their names.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = shuffle_partitions(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     run, schema = _signatures(shingle_words, bands, rows, lower)
-    signed = cut(plain.mapInArrow(run, schema))
+    signed = cut(plain.mapInArrow(lean(run), schema))
 
     usable = signed.where("n > 0 and id is not null")
     classes = usable.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "th", "m1", "m2", "keys")).alias("r")).select("s1", "s2", "n", "r.*")
@@ -265,7 +266,7 @@ def near_duplicates(
     facts = classes.select("id", "th", "n", "m1", "m2")
     chosen = facts.join(buckets.select("id").distinct(), "id").select("id", "th").distinct()
     where = scratch_uri(spark, "near-texts")
-    plain.mapInArrow(pack, "id long, th int, no_id boolean, z binary").join(chosen, ["id", "th"]).select("id", "z").write.parquet(where)
+    plain.mapInArrow(lean(pack), "id long, th int, no_id boolean, z binary").join(chosen, ["id", "th"]).select("id", "z").write.parquet(where)
     texts = spark.read.schema("id long, z binary").parquet(where)
 
     n_bits = min(128, bands * rows)

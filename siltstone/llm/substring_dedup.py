@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import words as W
-from siltstone.llm.common import shuffle_partitions
+from siltstone.llm.common import bounded_batches, lean, shuffle_partitions
 from siltstone.llm.packed import NULL_ID, mark, pack, unpacked
 
 FLUSH = 1_000_000
@@ -176,7 +176,7 @@ _ROW = "bucket int, doc long, th int, blob binary"
 def _resolved(mapped: DataFrame, parts: int, earliest: bool) -> DataFrame:
     """Bring equal hashes together and return (doc, th, places): the flagged positions of each document."""
     dealt = mapped.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_reduce(earliest), "doc long, th int, pos int").groupBy("doc", "th").agg(F.collect_list("pos").alias("places"))
+    return dealt.mapInArrow(lean(_reduce(earliest)), "doc long, th int, pos int").groupBy("doc", "th").agg(F.collect_list("pos").alias("places"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, seed_words: int = 6, buckets: int = BUCKETS) -> DataFrame:
@@ -195,9 +195,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Ids are integers. Other columns of the input are ignored, whatever their names.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = shuffle_partitions(spark)
 
-    packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pack, "id long, th int, no_id boolean, z binary").withColumnRenamed("id", "doc")
+    packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(pack), "id long, th int, no_id boolean, z binary").withColumnRenamed("id", "doc")
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Sender(buckets, earliest=False)
@@ -261,11 +262,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = packed.repartition(parts, "doc", "th")
-    seeded = _resolved(plain.mapInArrow(seeds, _ROW), parts, earliest=False)
+    seeded = _resolved(plain.mapInArrow(lean(seeds), _ROW), parts, earliest=False)
     candidates = texts.join(seeded, ["doc", "th"]).select("doc", "th", "z", "places")
-    repeated = _resolved(candidates.mapInArrow(windows, _ROW), parts, earliest=True)
+    repeated = _resolved(candidates.mapInArrow(lean(windows), _ROW), parts, earliest=True)
     marked = texts.join(repeated, ["doc", "th"], "left").select("doc", "th", "no_id", "z", "places")
-    out = marked.mapInArrow(cut_out, "id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string")
+    out = marked.mapInArrow(lean(cut_out), "id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string")
     return out.withColumnRenamed("id", id_col)
 
 
