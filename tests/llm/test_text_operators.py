@@ -130,6 +130,27 @@ def test_contamination(spark, documents, awkward):
     assert contaminated(documents([]), items).collect() == [] and contaminated(documents(rows), items.limit(0)).collect() == []
 
 
+def test_contamination_finds_all_edited_copies(spark, documents):
+    """Only edited copies (a fifth to half of the words), held against alignments with the whole document."""
+    rng = random.Random(8)
+    texts = {k: prose(900 + k, rng.choice([3, 5, 9, 15, 30, 50])).split() for k in range(24)}
+    cut = {k: [w for n, w in enumerate(words) if n % 3 != 2] for k, words in texts.items()}  # no three words in a row stay
+    spaced = {k: [x for w in words for x in (w, "zz")] for k, words in texts.items()}  # nor two
+    rows = []
+    for k, words in texts.items():
+        copies = [cut[k], spaced[k], [w for n, w in enumerate(words) for w in ([w, "zz"] if n % 3 == 2 else [w])], ["zz" if n % 3 == 2 else w for n, w in enumerate(words)]]
+        for rate in (0.2, 0.25, 0.3, 0.4, 0.5):
+            copies.append([x for w in words for x in ([w] if rng.random() >= rate else rng.choice([["zz"], [], [w, "yy"], ["yy", rng.choice(words)]]))])
+        rows += [(100 * k + c, f"{prose(c, 40)} {' '.join(copy)} {prose(c + 1, 20)}") for c, copy in enumerate(copies)]
+    items = spark.createDataFrame([(k, " ".join(words)) for k, words in texts.items()], "item_id long, text string")
+    hashed = lambda t: plain_words(np.frombuffer(t.encode(), dtype=np.uint8), np.array([0, len(t.encode())]))[0]
+    pairs = [(d, k, hashed(" ".join(words)), hashed(t)) for d, t in rows for k, words in texts.items()]
+    scores = smith_waterman([x[2] for x in pairs], [x[3] for x in pairs])
+    want = {(d, k): s / (MATCH * len(q)) for (d, k, q, _), (s, _, _) in zip(pairs, scores, strict=True) if s >= MATCH * len(q) * 0.5}
+    got = {(r.doc_id, r.item_id): r.score for r in contaminated(documents(rows), items).collect()}
+    assert got == want and len({d for d, _ in want}) > 150
+
+
 def test_licenses(spark, documents, awkward):
     mit = dict(TEMPLATES[:1])["MIT"]
     lines = {700: "Released under the MIT License.", 701: "Licensed under the Apache License, Version 2.0.", 702: "This work is licensed under the GNU General Public License, version 3.", 703: "Licensed under CC BY-NC 4.0.", 704: mit.replace("furnished", "handed"), 705: " ".join(mit.split()[:20])}
