@@ -5,7 +5,8 @@ Only DataFrame and SQL expressions. The lines of a document (trimmed, blank ones
 ``gram_lines + window - 1`` lines (the *guaranteed length*) have a fingerprint in common. Fingerprints found in
 one place are dropped. The positions of the others are joined on the fingerprint and the matches extended by up to
 ``window - 1`` lines both ways, to every stretch of guaranteed length around the fingerprint; of equal stretches
-the first in the corpus stays. Later stretches that overlap or touch in a document form its maximal repeated runs,
+the first in the corpus stays. Shorter runs that hold ``long_words`` words and more are fingerprints and stretches
+of their own, so a long passage on one line or two is found too. Later stretches that overlap or touch in a document form its maximal repeated runs,
 whose lines go.
 
 Skew: a line run that is everywhere is one key in two aggregations (combined before the shuffle) and in two joins
@@ -21,6 +22,8 @@ from siltstone.llm.common import let
 
 GRAM_LINES = 2
 WINDOW = 2
+LONG_WORDS = 50
+_BLANKS = r"[\x20\x09-\x0D]+"
 _NULL_ID = 9223372036854775807
 
 
@@ -32,8 +35,22 @@ def _hash(lines: Column, start: Column, count: int, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *(F.get(lines, start + k) for k in range(count)))
 
 
-def _fingerprints(lines: Column, gram_lines: int, window: int) -> Column:
-    """Array of (h, stretches) of a document; stretches: (start, h1, h2) of each guaranteed-length run around it."""
+def _long_runs(lines: Column, count: int, long_words: int) -> Column:
+    """The runs of ``count`` lines with ``long_words`` words, in the shape of ``_fingerprints``."""
+
+    def enough(i: Column) -> Column:
+        text = F.array_join(F.slice(lines, i + 1, count), " ")
+        return (F.length(text) >= 2 * long_words - 1) & (F.size(F.split(text, _BLANKS)) >= long_words)
+
+    def told(i: Column) -> Column:
+        stretch = F.struct(i.alias("start"), F.lit(count).alias("len"), _hash(lines, i, count, 3).alias("h1"), _hash(lines, i, count, 4).alias("h2"))
+        return F.struct(_hash(lines, i, count, 5).alias("h"), F.array(stretch).alias("stretches"))
+
+    return F.when(F.size(lines) >= count, F.transform(F.filter(F.sequence(F.lit(0), F.size(lines) - count), enough), told))
+
+
+def _fingerprints(lines: Column, gram_lines: int, window: int, long_words: int | None) -> Column:
+    """Array of (h, stretches) of a document; stretches: (start, len, h1, h2) of each run around it that counts."""
     length = gram_lines + window - 1
     n = F.size(lines)
 
@@ -43,42 +60,45 @@ def _fingerprints(lines: Column, gram_lines: int, window: int) -> Column:
         return F.array_distinct(least)
 
     runs = F.transform(F.sequence(F.lit(0), n - gram_lines), lambda i: F.struct(_hash(lines, i, gram_lines, 0).alias("h"), (-i).alias("back")))
-    stretch = lambda s: F.struct(s.alias("start"), _hash(lines, s, length, 1).alias("h1"), _hash(lines, s, length, 2).alias("h2"))
+    stretch = lambda s: F.struct(s.alias("start"), F.lit(length).alias("len"), _hash(lines, s, length, 1).alias("h1"), _hash(lines, s, length, 2).alias("h2"))
     around = lambda p: F.transform(F.sequence(F.greatest(F.lit(0), p - window + 1), F.least(p, n - length)), stretch)
     found = F.transform(let(runs, chosen), lambda x: F.struct(x["h"].alias("h"), around(-x["back"]).alias("stretches")))
-    return F.when(n >= length, found)
+    kinds = [F.when(n >= length, found)]
+    if long_words is not None:
+        kinds += [_long_runs(lines, count, long_words) for count in range(1, length)]
+    return F.flatten(F.array_compact(F.array(*kinds)))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram_lines: int = GRAM_LINES, window: int = WINDOW) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram_lines: int = GRAM_LINES, window: int = WINDOW, long_words: int | None = LONG_WORDS) -> DataFrame:
     """``docs`` with the lines of later repeated runs deleted from ``text_col``.
 
-    A run of ``gram_lines + window - 1`` non-blank lines repeats if the same trimmed lines start earlier: in a
+    A run of ``gram_lines + window - 1`` non-blank lines, or of fewer lines with at least ``long_words`` words together
+    (None: only by lines), repeats if the same trimmed lines start earlier: in a
     document with a smaller id, or in the same document above. All runs are judged on the input. Blank lines count
     for nothing and stay. All rows and columns stay; ``n_lines`` (non-blank lines), ``n_removed`` and
     ``removed_lines`` (0-based numbers among all lines) are added and replace columns of that name.
 
-    Edge cases: a null text stays null and has no lines; texts shorter than a run stay as they are. Rows with a null
+    Edge cases: a null text stays null and has no lines; texts shorter than any run stay as they are. Rows with a null
     id come last. Rows with equal id and text are one document with one answer; rows with equal id and different
     texts are different documents in a fixed order (by hash). Window equality is by 128-bit hash. Ids are integers.
     """
-    length = gram_lines + window - 1
     text = F.col(text_col).cast("string")
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("__nid"), F.xxhash64(text).alias("__th")]
     solid = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), _trimmed), lambda line: line != "")
-    prints = docs.select(*key, F.explode(let(solid, lambda lines: _fingerprints(lines, gram_lines, window))).alias("f")).select("__nid", "__th", "f.h", "f.stretches")
+    prints = docs.select(*key, F.explode(let(solid, lambda lines: _fingerprints(lines, gram_lines, window, long_words))).alias("f")).select("__nid", "__th", "f.h", "f.stretches")
     prints = prints.select("__nid", "__th", "h", "stretches", F.element_at("stretches", 1)["start"].alias("at"))
 
     place = F.struct("__nid", "__th", "at")
     repeated = prints.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("h")
     stretches = prints.join(repeated, "h").select("__nid", "__th", F.explode("stretches").alias("s")).select("__nid", "__th", "s.*")
     first = stretches.groupBy("h1", "h2").agg(F.min(F.struct("__nid", "__th", "start")).alias("first"))
-    later = stretches.join(first, ["h1", "h2"]).where("struct(__nid, __th, start) > first").groupBy("__nid", "__th").agg(F.collect_set("start").alias("__starts"))
+    later = stretches.join(first, ["h1", "h2"]).where("struct(__nid, __th, start) > first").groupBy("__nid", "__th").agg(F.collect_set(F.struct("start", "len")).alias("__starts"))
 
     wide = docs.select("*", *key).join(later, ["__nid", "__th"], "left")
 
     def result(lines: Column) -> Column:
         def told(full: Column) -> Column:
-            gone = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.transform(F.sequence(s, s + length - 1), lambda c: F.get(full, c)))))
+            gone = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.transform(F.sequence(s["start"], s["start"] + s["len"] - 1), lambda c: F.get(full, c)))))
             return let(F.sort_array(F.coalesce(gone, F.array().cast("array<int>"))), lambda g: F.struct(F.size(full).cast("long").alias("n"), g.alias("gone"), kept(g).alias("text")))
 
         def kept(gone: Column) -> Column:

@@ -116,7 +116,7 @@ FROM h
 
 @query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), long_words=None)  # as its SQL
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 

@@ -81,6 +81,21 @@ def test_line_dedup_awkward_rows(spark, documents, awkward):
     assert dedup_lines(documents([])).collect() == []
 
 
+def test_line_dedup_finds_long_passages_on_few_lines(spark, documents):
+    long, half, short = prose(900, 60), [prose(901, 30), prose(902, 25)], prose(903, 49)
+    rows = [
+        (1, f"top\n{long}\n" + "\n".join(half) + f"\nmid\n{short}\nend"),
+        (2, f" {long} "),  # one line, one document
+        (3, f"other\n{half[0]}\n\n{half[1]}\nmore"),
+        (4, f"{short}\n{half[0]}\nfew\n{half[1]}"),  # each of fewer than 50 words alone
+        (5, f"{long}\nx\n{long}"),
+        (6, f"top\n{long}\nlast"),  # a short line beside a long one
+    ]
+    got = {r.doc_id: (r.n_removed, r.text) for r in dedup_lines(documents(rows).repartition(3)).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (1, ""), 3: (2, "other\n\nmore"), 4: (0, rows[3][1]), 5: (2, "x"), 6: (2, "last")}
+    assert all(r.n_removed == 0 for r in dedup_lines(documents(rows), long_words=None).collect() if r.doc_id != 6)
+
+
 def test_mixing_budgets(spark, documents):
     rows = []
     for k in range(400):
