@@ -59,19 +59,26 @@ def winnowed(docs: DataFrame, id_col: str, text_col: str, k: int = 5, window: in
     return split.select("id", F.explode(F.array_distinct(least)).alias("print"))
 
 
-def near_clones(docs: DataFrame, id_col: str, text_col: str, percent: int = 60, k: int = 5, window: int = 4, spread: int = 200) -> DataFrame:
+def near_clones(docs: DataFrame, id_col: str, text_col: str, percent: int = 60, k: int = 5, window: int = 4, spread: int | None = None) -> DataFrame:
     """Pairs (a, b, shared, similarity) of rows that share fingerprints: shared over the smaller set, in percent.
 
-    Fingerprints found in more than ``spread`` rows say nothing about a pair and don't open one; rows with equal
-    text are one group (see ``clone_groups``) of which the least id is compared.
+    Rows with equal text are one group (see ``clone_groups``) of which the least id is compared; rows with equal
+    fingerprint sets are one class, so a fingerprint joins classes and a frequent one costs their number squared.
+    With ``spread``, fingerprints found in more rows count for nothing but the set sizes: pairs are lost.
     """
     firsts = docs.groupBy(F.md5(text_col).alias("h")).agg(F.min_by(F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text")), id_col).alias("r")).select("r.*")
     prints = winnowed(firsts, "id", "text", k, window)
-    sizes = prints.groupBy("id").agg(F.count("*").alias("n"))
-    told = prints.groupBy("print").agg(F.count("*").alias("rows")).where(f"rows between 2 and {int(spread)}").select("print")
-    held = prints.join(told, "print")
-    a, b = held.select("print", F.col("id").alias("a")), held.select("print", F.col("id").alias("b"))
-    pairs = a.join(b, "print").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    na, nb = sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), sizes.select(F.col("id").alias("b"), F.col("n").alias("nb"))
-    out = pairs.join(na, "a").join(nb, "b").withColumn("similarity", F.round(100.0 * F.col("shared") / F.least("na", "nb"), 1))
-    return out.where(F.col("similarity") >= percent).select("a", "b", "shared", "similarity")
+    sets = prints.groupBy("id").agg(F.sort_array(F.collect_list("print")).alias("prints"))
+    members = sets.select("id", F.sha2(F.array_join("prints", ","), 256).alias("class"), "prints")
+    classes = members.groupBy("class").agg(F.min_by("prints", "id").alias("prints"), F.count("*").alias("rows"))
+    sizes = classes.select("class", F.size("prints").cast("long").alias("n"))
+    each = classes.select("class", "rows", F.explode("prints").alias("print"))
+    told = each.groupBy("print").agg(F.sum("rows").alias("of")).where("of > 1" if spread is None else f"of between 2 and {int(spread)}").select("print")
+    held = each.join(told, "print")
+    x, y = held.select("print", F.col("class").alias("x")), held.select("print", F.col("class").alias("y"))
+    pairs = x.join(y, "print").where("x <= y").groupBy("x", "y").agg(F.count("*").alias("shared"))
+    nx, ny = sizes.select(F.col("class").alias("x"), F.col("n").alias("nx")), sizes.select(F.col("class").alias("y"), F.col("n").alias("ny"))
+    alike = pairs.join(nx, "x").join(ny, "y").withColumn("similarity", F.round(100.0 * F.col("shared") / F.least("nx", "ny"), 1)).where(F.col("similarity") >= percent)
+    one, two = members.select(F.col("id").alias("i"), F.col("class").alias("x")), members.select(F.col("id").alias("j"), F.col("class").alias("y"))
+    out = alike.join(one, "x").join(two, "y").where("x < y or i < j")
+    return out.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "shared", "similarity")

@@ -43,7 +43,7 @@ s AS (SELECT id, count(*) AS n FROM p GROUP BY id), t AS (SELECT print FROM p GR
 j AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM p x JOIN p y ON x.print = y.print AND x.id < y.id WHERE x.print IN (SELECT print FROM t) GROUP BY ALL)
 SELECT a, b, shared, round(100.0 * shared / least(m.n, k.n), 1) AS similarity FROM j JOIN s m ON m.id = a JOIN s k ON k.id = b WHERE round(100.0 * shared / least(m.n, k.n), 1) >= 60""")
 def near_clones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.near_clones(table(spark, sf_dir, "documents"), "doc_id", "text", percent=60)
+    return text.near_clones(table(spark, sf_dir, "documents"), "doc_id", "text", percent=60, spread=200)  # as its SQL
 
 
 SECRET_RULES = [
