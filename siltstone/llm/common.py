@@ -4,13 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import os
-import tempfile
-import uuid
-from urllib.parse import urlparse
 
 import pyarrow as pa
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +22,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 BATCH_ROWS = 2000
+HOT_ROWS = 1000
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of whole documents hold at most ``BATCH_ROWS`` rows, unless the session asks for fewer."""
+    """Arrow batches of whole documents hold at most ``BATCH_ROWS`` rows, unless the session asks for fewer.
+
+    Spark reads the setting when a plan runs, which is after the operator has returned it, so the session keeps it.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
@@ -57,32 +56,21 @@ def lean(run):
     return wrapped
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one only where none is set (tests, one machine)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        named = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder and forget the lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def scratch_uri(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared checkpoint folder, as a URI."""
-    base = checkpoint_dir(spark)
-    if not urlparse(base).scheme:
-        base = "file://" + os.path.abspath(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def shared_out(rows: DataFrame, table: DataFrame, keys: list[str], count: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key, ``count`` rows of ``rows`` have it), hot keys dealt to many tasks.
+
+    A key is hot if it holds more than a quarter of a partition's even share and ``HOT_ROWS``; there are at most
+    ``4 * partitions`` such keys at any size, so their list is broadcast. Rows of a hot key are dealt by a hash of
+    ``spread`` and the key's one row is repeated as often. Nothing is dropped. ``table`` should be a written table.
+    """
+    spark = rows.sparkSession
+    total = table.agg(F.sum(count).alias("n")).first()["n"] or 0
+    limit = max(HOT_ROWS, total // (4 * shuffle_partitions(spark)))
+    hot = F.broadcast(table.where(F.col(count) > limit).select(*keys, F.expr(f"cast(ceil({count} / {limit}) as int)").alias("__salts")))
+    salts = F.coalesce("__salts", F.lit(1))
+    dealt = rows.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("__salts")
+    copied = table.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts", count)
+    return dealt.join(copied, [*keys, "__salt"], how).drop("__salt")
 
 
 def let(value: Column, use) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut
+from siltstone.scratch import cut, drop
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
 
     Edges are undirected pairs of integers; loops and rows with a null end are ignored, repeated edges count once.
     Each round is written to the shared checkpoint folder, so the plan stays short and lost executors cost one
-    round. Rounds grow with the logarithm of the longest path. Only counts reach the driver. A table without
+    round; the table of the round before is deleted then. Rounds grow with the logarithm of the longest path. Only counts reach the driver. A table without
     edges gives an empty result. Raises if the edges still change after ``rounds`` rounds.
     """
     now = cut(edges.where(f"`{a}` <> `{b}`").select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).distinct())
@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     for _ in range(rounds):
         if not before[0]:
             break
-        now = cut(_small_star(_large_star(now)))
+        last, now = now, cut(_small_star(_large_star(now)), "star")
+        drop(last)
         after = _fingerprint(now)
         if after == before:
             break
@@ -48,4 +49,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     stars = now.groupBy("u").agg(F.min("v").alias("component"))
     centres = now.select(F.col("v").alias("u"), F.col("v").alias("component")).distinct()
-    return stars.unionByName(centres).select(F.col("u").alias("node"), "component")
+    out = cut(stars.unionByName(centres).select(F.col("u").alias("node"), "component"), "components")
+    drop(now)
+    return out

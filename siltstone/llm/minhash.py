@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import words as W
-from siltstone.llm.common import bounded_batches, cut, lean, scratch_uri, shuffle_partitions
+from siltstone.llm.common import bounded_batches, lean, shared_out, shuffle_partitions
 from siltstone.llm.components import connected_components
 from siltstone.llm.packed import mark, pack, unpacked
+from siltstone.scratch import cut, drop
 
 _MEMBERS = 400
 _BLOCK_SHINGLES = 400_000
@@ -250,24 +251,23 @@ def near_duplicates(
     parts = shuffle_partitions(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     run, schema = _signatures(shingle_words, bands, rows, lower)
-    signed = cut(plain.mapInArrow(lean(run), schema))
+    signed = cut(plain.mapInArrow(lean(run), schema), "signed")
 
     usable = signed.where("n > 0 and id is not null")
-    classes = usable.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "th", "m1", "m2", "keys")).alias("r")).select("s1", "s2", "n", "r.*")
-    classes = cut(classes)
+    classes = cut(usable.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "th", "m1", "m2", "keys")).alias("r")).select("s1", "s2", "n", "r.*"), "classes")
     owned = usable.select("id", "s1", "s2", "n").join(classes.select("s1", "s2", "n", F.col("id").alias("rep")), ["s1", "s2", "n"]).select("id", "rep")
     clashes = owned.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    shared_ids = owned.join(clashes.select("id"), "id").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    shared_ids = cut(owned.join(clashes.select("id"), "id").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct())
 
     keyed = classes.select("id", F.explode("keys").alias("key"))
-    firsts = keyed.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("last")).where("p < last").select("key", "p")
-    buckets = cut(keyed.join(firsts, "key").select("key", "id", "p"))
+    firsts = cut(keyed.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("last"), F.count("*").alias("of")).where("p < last").select("key", "p", "of"))
+    buckets = cut(shared_out(keyed, firsts, ["key"], "of", ["id"]).select("key", "id", "p"), "buckets")
+    drop(firsts)
 
     facts = classes.select("id", "th", "n", "m1", "m2")
     chosen = facts.join(buckets.select("id").distinct(), "id").select("id", "th").distinct()
-    where = scratch_uri(spark, "near-texts")
-    plain.mapInArrow(lean(pack), "id long, th int, no_id boolean, z binary").join(chosen, ["id", "th"]).select("id", "z").write.parquet(where)
-    texts = spark.read.schema("id long, z binary").parquet(where)
+    packed = plain.mapInArrow(lean(pack), "id long, th int, no_id boolean, z binary")
+    texts = cut(packed.join(chosen, ["id", "th"], "left_semi").select("id", "z"), "near-texts")
 
     n_bits = min(128, bands * rows)
     off = (1 - percent / 100) / 2
@@ -278,38 +278,39 @@ def near_duplicates(
     def candidates(pairs: DataFrame) -> DataFrame:
         """Pairs (p, x) that pass the size bound and the sketch."""
         known = pairs.distinct().join(x, F.col("x") == F.col("x_id")).drop("x_id")
-        return known.join(p, (F.col("p") == F.col("p_id")) & F.expr(near)).select("p", "x").distinct()
-
-    def grown(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-        return cut(edges.unionByName(_links(cut(candidates(pairs)), texts, parts, shingle_words, lower, percent)))
+        pivots = cut(known.groupBy("p").agg(F.count("*").alias("of")).join(p, F.col("p") == F.col("p_id")).drop("p_id"))
+        return shared_out(known, pivots, ["p"], "of", ["x"]).where(near).select("p", "x").distinct()
 
     def still(members: DataFrame) -> DataFrame:
         """Members of buckets in which several components are left."""
-        mixed = members.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 < c1").select("key", "size")
-        return members.drop("size").join(mixed, "key")
-
-    def apart(edges: DataFrame) -> DataFrame:
-        """Bucket members with their component, for buckets that still hold several."""
-        labels = connected_components(edges)
-        told = buckets.join(labels, buckets.id == labels.node, "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        return cut(still(told))
-
-    edges = grown(cut(shared_ids.distinct()), buckets.where("id <> p").select("p", F.col("id").alias("x")))
-    left = apart(edges)
+        mixed = members.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("of")).where("c0 < c1").select("key", "of")
+        return shared_out(members, cut(mixed), ["key"], "of", ["id"])
+
+    pairs = cut(candidates(buckets.where("id <> p").select("p", F.col("id").alias("x"))))
+    edges = cut(shared_ids.unionByName(_links(pairs, texts, parts, shingle_words, lower, percent)), "edges")
+    drop(pairs, shared_ids)
+    labels = connected_components(edges)
+    told = buckets.join(labels, buckets.id == labels.node, "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    left = cut(still(told), "left")
+    drop(buckets, labels)
     if left.head(1):
         sizes = facts.groupBy("id").agg(F.max("n").alias("n"), F.count("*").alias("sets"))
         rare = _alone(left, texts, shingle_words, lower).join(sizes, "id")
         hopeless = rare.where(f"sets = 1 and 100 * (n - alone) < {percent} * n").select("id")
-        left = cut(still(left.join(hopeless, "id", "left_anti")))
+        wider, left = left, cut(still(left.join(hopeless, "id", "left_anti")), "left")
+        drop(wider)
     if left.head(1):
         first = left.groupBy("key").agg(F.min("id").alias("a"))
         cluster = connected_components(left.join(first, "key").select("a", F.col("id").alias("b")))
         members = left.select("id", "c").distinct().join(cluster, F.col("id") == F.col("node")).select("id", "c", F.col("component").alias("cluster")).join(sizes.select("id", "n"), "id")
         blocks = members.groupBy("cluster").agg(F.expr(f"cast(ceil(sum(n) / {_BLOCK_SHINGLES}) as int)").alias("blocks"))
         placed = cut(members.join(blocks, "cluster").select("cluster", "id", "c", "blocks", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("own")))
-        edges = cut(edges.unionByName(_block_links(placed, texts, parts, shingle_words, lower, percent)))
+        fewer, edges = edges, cut(edges.unionByName(_block_links(placed, texts, parts, shingle_words, lower, percent)), "edges")
+        drop(cluster, placed, fewer)
+    drop(left, texts)
 
-    labels = cut(connected_components(edges))
+    labels = connected_components(edges)
+    drop(edges)
     reps = classes.join(labels, classes.id == labels.node, "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))
     own = signed.select("id", "n", "s1", "s2").join(reps, ["s1", "s2", "n"], "left")
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))

@@ -8,7 +8,8 @@ longest prefix that fits.
 
 The tree lives in tables with one row a node; budgets are integers, so results don't depend on summation order.
 The prefix is found without sorting a leaf: documents fall into hash ranges of about ``RANGE_ROWS`` rows, ranges
-are summed, and only the range in which the budget ends is ordered.
+are summed, and only the range in which the budget ends is ordered. Documents meet their leaf's plan by a broadcast of
+one row a leaf, so they are never moved by leaf, however much one leaf holds.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WORD, cut
+from siltstone.llm.common import WORD, shared_out
+from siltstone.scratch import cut
 
 RANGE_ROWS = 4096
+PLAN_ROWS = 100_000
 
 
 def _weight(path: list[str], weights: dict[tuple[str, ...], int]) -> Column:
@@ -76,8 +79,9 @@ def mix(
     leaf exceeds its budget; a leaf misses it by less than its next document in order, a family by rounding.
 
     Edge cases: a null level value is the node ``(none)``; documents without words are never selected; an empty table
-    gives no rows. Rows with equal ids are different documents with equal rank (fewer tokens first); null ids rank by
-    the text ``null``. Other columns are ignored, whatever their names.
+    gives no rows; a very long text counts with all its words. Rows with equal ids are different documents with equal
+    rank (fewer tokens first), and those with equal tokens too are counted as one row, so an id that many rows share is
+    no burden; null ids rank by the text ``null``. Other columns are ignored, whatever their names.
     """
     levels = list(path)
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
@@ -87,27 +91,35 @@ def mix(
         *(F.coalesce(c.cast("string"), F.lit("(none)")).alias(n) for n, c in path.items()),
         F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("tokens"),
     )
-    table = cut(table.where("tokens > 0"))
+    table = cut(table.where("tokens > 0"), "tokens")
     leaves = table.groupBy(*levels).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
     total = F.lit(int(total)) if isinstance(total, int) else total
-    plan = cut(budgets(leaves, levels, weights, total, max_epochs).withColumns({"epochs": F.expr("cast(budget div tokens as int)"), "rest": F.expr("budget % tokens")}))
-    ranges = F.expr(f"cast(ceil(n / {RANGE_ROWS}) as long)")
-    plan = plan.select(*levels, "epochs", "rest", ranges.alias("ranges"))
+    plan = budgets(leaves, levels, weights, total, max_epochs).withColumns({"epochs": F.expr("cast(budget div tokens as int)"), "rest": F.expr("budget % tokens")})
+    plan = cut(plan.where("budget > 0").select(*levels, "epochs", "rest", "n", F.expr(f"cast(ceil(n / {RANGE_ROWS}) as long)").alias("ranges")), "plan")
 
-    drawn = table.join(plan, levels)
     rank = F.md5(F.concat_ws(":", F.lit(seed), F.col("epochs").cast("string"), F.col("_key")))
-    drawn = drawn.withColumn("_rank", rank)
-    drawn = drawn.withColumn("_range", F.expr("cast(conv(substr(_rank, 1, 8), 16, 10) as long) * ranges div 4294967296"))
-
-    sums = drawn.where("rest > 0").groupBy(*levels, "_range").agg(F.sum("tokens").alias("sum"))
+    part = F.expr("cast(conv(substr(_rank, 1, 8), 16, 10) as long) * ranges div 4294967296")
+    drawn = _planned(table, plan, levels).withColumn("_rank", rank).withColumn("_range", part)
+    sums = drawn.where("rest > 0").groupBy(*levels, "_range", "rest").agg(F.sum("tokens").alias("sum"))
     before = Window.partitionBy(*levels).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0)))
-    placed = drawn.where("rest > 0").join(sums, [*levels, "_range"]).where("before < rest")
-    whole = placed.where("before + sum <= rest")
-    ending = placed.where("before + sum > rest")
-    upto = Window.partitionBy(*levels, "_range").orderBy("_rank", "tokens").rowsBetween(Window.unboundedPreceding, 0)
-    ending = ending.withColumn("upto", F.col("before") + F.sum("tokens").over(upto)).where("upto <= rest").drop("upto")
-    columns = ["_id", *levels, "epochs", "tokens"]
-    prefix = whole.select(*columns).unionByName(ending.select(*columns)).withColumnRenamed("epochs", "epoch")
-    full = drawn.where("epochs > 0").select("_id", *levels, F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("epoch"), "tokens")
+    ends = sums.withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0))).where("before <= rest and before + sum > rest")
+    plan = cut(plan.join(ends.select(*levels, F.col("_range").alias("end"), "before"), levels, "left"), "plan")
+
+    drawn = _planned(table, plan, levels).withColumn("_rank", rank).withColumn("_range", part)
+    whole = F.col("epochs") + F.coalesce((F.col("_range") < F.col("end")).cast("int"), F.lit(0))
+    full = drawn.withColumn("_times", whole).where("_times > 0").select("_id", *levels, F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("epoch"), "tokens")
+
+    # rows of one rank and size are alike in all that is returned: they are counted, and as many as fit are made again
+    like = drawn.where("_range = end").groupBy("_id", *levels, "epochs", "_rank", "_range", "tokens", "rest", "before").agg(F.count("*").alias("like"))
+    upto = Window.partitionBy(*levels, "_range").orderBy("_rank", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("rest") - F.col("before") - F.coalesce(F.sum(F.col("tokens") * F.col("like")).over(upto), F.lit(0))
+    like = like.withColumn("_room", room).withColumn("_times", F.expr("least(like, _room div tokens)")).where("_times > 0")
+    prefix = like.select("_id", *levels, F.col("epochs").alias("epoch"), "tokens", F.explode(F.expr("sequence(1, cast(_times as int))")).alias("_k")).drop("_k")
     return full.unionByName(prefix).withColumnRenamed("_id", id_col)
+
+
+def _planned(table: DataFrame, plan: DataFrame, levels: list[str]) -> DataFrame:
+    """Rows with their leaf's plan. The plan is broadcast up to ``PLAN_ROWS`` leaves (counted), else hot leaves are dealt out."""
+    if plan.count() <= PLAN_ROWS:
+        return table.join(F.broadcast(plan), levels)
+    return shared_out(table, plan, levels, "n", ["_key"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import read, scratch_uri
+from siltstone.llm.common import read
 from siltstone.llm.decontaminate import contaminated
 from siltstone.llm.htmltext import extract
 from siltstone.llm.langid import fit_profiles, identify
@@ -20,6 +20,7 @@ from siltstone.llm.quality import ORACLE as QUALITY_SQL
 from siltstone.llm.quality import quality
 from siltstone.llm.substring_dedup import remove_repeats
 from siltstone.llm.warczip import read_packages, write_packages
+from siltstone.scratch import fresh
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -97,7 +98,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uri = scratch_uri(spark, "warc")
+    uri = fresh(spark, "warc")
     packages = write_packages(read(spark, sf_dir, "pages"), uri, min_revisit_bytes=0)
     return read_packages(spark, packages, uri, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

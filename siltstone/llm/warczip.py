@@ -27,7 +27,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut, shuffle_partitions
+from siltstone.llm.common import bounded_batches, shared_out, shuffle_partitions
+from siltstone.scratch import cut
 
 MEMBER_BYTES = 8 << 20
 RANGE_BYTES = 4 << 20
@@ -204,9 +205,10 @@ def write_packages(pages: DataFrame, uri: str, id_col: str = "page_id", url_col:
     table gives no package. Ids are integers; other columns are ignored, whatever their names.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
+    bounded_batches(pages.sparkSession)
     rows = rows.withColumn("sha1", F.unhex(F.sha1("payload")))
-    last = rows.where(F.octet_length("payload") >= min_revisit_bytes).groupBy("sha1").agg(F.max("page_id").alias("last"))
-    told = rows.join(last, "sha1", "left").select("page_id", "url", "payload", "sha1", F.expr(f"case when octet_length(payload) >= {int(min_revisit_bytes)} and not page_id <=> last then last end").alias("refers_to"))
+    same = rows.where(F.octet_length("payload") >= min_revisit_bytes).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1")
+    told = shared_out(rows, cut(same), ["sha1"], "n", ["page_id"], "left").select("page_id", "url", "payload", "sha1", F.expr(f"case when octet_length(payload) >= {int(min_revisit_bytes)} and not page_id <=> last then last end").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = pafs.FileSystem.from_uri(uri)
