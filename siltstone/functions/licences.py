@@ -6,21 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CLASSES = ["permissive", "weak", "strong", "proprietary", "unknown"]
-# Licence id prefixes in lower case and their class.
+# Licence id prefixes in lower case, each a whole word, and their class.
 PREFIXES = {
     "permissive": ["mit", "apache", "bsd", "isc", "zlib", "unlicense", "0bsd", "cc0", "python", "psf", "wtfpl", "cc-by-4", "cc by 4"],
     "weak": ["lgpl", "mpl", "epl", "cddl", "cpl"],
     "strong": ["gpl", "agpl", "gnu general", "gnu affero", "cc-by-sa", "sspl", "osl", "eupl"],
-    "proprietary": ["proprietary", "commercial", "all rights reserved", "cc-by-nc", "cc by-nc", "busl"],
+    "proprietary": ["proprietary", "commercial", "all rights reserved", "cc-by-nc", "cc by-nc", "busl", "unlicensed"],
 }
 
 
 def licence_class(text: Column) -> Column:
-    """Class of one licence text or id; null, blank and ``UNKNOWN`` are unknown."""
-    low = F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"^(the )", "")
+    """Class of one licence text or id; null, blank and ``UNKNOWN`` are unknown.
+
+    Classifier texts (``License :: OSI Approved :: ...``) are read by their last part.
+    """
+    low = F.lower(F.trim(F.element_at(F.split(F.coalesce(text, F.lit("")), "::"), -1)))
+    low = F.regexp_replace(low, r"^(the )", "")
     out = F.lit("unknown")
     for name, prefixes in PREFIXES.items():
-        out = F.when(low.rlike("^(" + "|".join(prefixes) + r")"), name).otherwise(out)
+        out = F.when(low.rlike("^(" + "|".join(prefixes) + r")($|[^a-z])"), name).otherwise(out)
     return out
 
 

@@ -41,13 +41,16 @@ def band_anti(left: DataFrame, right: DataFrame, keys: Sequence[str], line: str,
 def greedy_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], line: str, width: int, left_id: str, right_id: str) -> DataFrame:
     """One-to-one pairs in order of ``left_id``: each takes the first free right row (by ``right_id``) in reach.
 
-    Order decides the result, so each group is worked through in Python. Groups are cut where neighbouring lines of
-    either side are more than ``width`` apart: no pair can cross such a gap, and groups stay small.
+    Order decides the result, so each group is worked through in Python. The line axis is cut into cells of ``width``;
+    no pair can cross an empty cell, so a run of cells without a gap is a group, and a long file falls into many. Only
+    the distinct cells of a file are ordered, not its rows.
     """
     both = left.select(*keys, F.col(line).alias("line"), F.col(left_id).alias("id"), F.lit(0).alias("side")).unionByName(right.select(*keys, F.col(line).alias("line"), F.col(right_id).alias("id"), F.lit(1).alias("side")))
-    order = Window.partitionBy(*keys).orderBy("line", "side", "id")
-    gap = F.col("line") - F.lag("line").over(order) > width
-    both = both.withColumn("part", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(order))
+    both = both.withColumn("cell", _cell(F.col("line"), width + 1))
+    order = Window.partitionBy(*keys).orderBy("cell")
+    cells = both.select(*keys, "cell").distinct().withColumn("gap", F.coalesce(F.col("cell") - F.lag("cell").over(order) > 1, F.lit(False)))
+    cells = cells.withColumn("part", F.sum(F.col("gap").cast("int")).over(order)).drop("gap")
+    both = both.join(cells, [*keys, "cell"])
 
     def pair(group: pd.DataFrame) -> pd.DataFrame:
         ours, theirs = group[group.side == 0].sort_values("id"), group[group.side == 1].sort_values("id")
@@ -85,13 +88,49 @@ def nearest_start(points: DataFrame, spans: DataFrame, key: str, point_id: str,
     return found.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
 
 
-def asof_at_or_above(points: DataFrame, marks: DataFrame, key: str, line: str, value: str) -> DataFrame:
+def contained_pairs(points: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """One-to-one pairs (id, span_id): points (key, id, line, name), in order of id, each with a free span around it.
+
+    A span (key, id, start, end, name) fits with an equal name or with none; among those that fit an equal name comes
+    first, then the latest start, then the least id. Spans that overlap, and the points in them, are worked through
+    together in Python, as order decides; groups are cut where a span starts after all earlier ones have ended.
+    """
+    marks = points.select(key, "id", F.col("line").alias("at"), F.lit(None).cast("long").alias("end"), "name", F.lit(1).alias("side"))
+    whole = spans.select(key, "id", F.col("start").alias("at"), F.col("end").cast("long").alias("end"), "name", F.lit(0).alias("side")).unionByName(marks)
+    order = Window.partitionBy(key).orderBy("at", "side", "id")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    whole = whole.withColumn("fresh", (F.col("side") == 0) & (F.coalesce(before, F.col("at") - 1) < F.col("at")))
+    whole = whole.withColumn("part", F.sum(F.col("fresh").cast("int")).over(order))
+
+    def pair(group: pd.DataFrame) -> pd.DataFrame:
+        free = [(i, a, e, n) for i, a, e, n, s in zip(group["id"], group["at"], group["end"], group["name"], group["side"], strict=True) if s == 0]
+        rows = []
+        for own, at, name in sorted((i, a, n) for i, a, n, s in zip(group["id"], group["at"], group["name"], group["side"], strict=True) if s == 1):
+            fit = [f for f in free if f[1] <= at <= f[2] and (f[3] is None or f[3] == name)]
+            if fit:
+                taken = max(fit, key=lambda f: (f[3] is not None, f[1], -f[0]))
+                free.remove(taken)
+                rows.append((own, taken[0]))
+        return pd.DataFrame(rows, columns=["id", "span_id"])
+
+    return whole.groupBy(key, "part").applyInPandas(pair, "id long, span_id long")
+
+
+def asof_at_or_above(points: DataFrame, marks: DataFrame, key: str, line: str, value: str, cell: int = 4096) -> DataFrame:
     """Each point with the value of the last mark at or above it (as-of join), null where there is none.
 
-    One union and one window instead of a range join: every row is read once, however many marks precede it.
+    The line axis is cut into cells: within a cell one window over points and marks finds the last mark; points
+    before their cell's first mark take the last mark of the cells above, found on a table with one row a cell. So a
+    key with very many rows is many tasks.
     """
-    both = points.withColumns({"__side": F.lit(1), "__value": F.lit(None).cast(marks.schema[value].dataType)}).unionByName(
-        marks.select(key, line, F.col(value).alias("__value"), F.lit(0).alias("__side")), allowMissingColumns=True
+    kind = marks.schema[value].dataType
+    both = points.withColumns({"__side": F.lit(1), "__value": F.lit(None).cast(kind)}).unionByName(
+        marks.where(F.col(value).isNotNull()).select(key, line, F.col(value).alias("__value"), F.lit(0).alias("__side")), allowMissingColumns=True
     )
-    upto = Window.partitionBy(key).orderBy(line, "__side", "__value").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("__value", ignorenulls=True).over(upto)).where("__side = 1").drop("__side", "__value")
+    both = both.withColumn("__cell", _cell(F.col(line), cell))
+    upto = Window.partitionBy(key, "__cell").orderBy(line, "__side", "__value").rowsBetween(Window.unboundedPreceding, 0)
+    own = both.withColumn("__own", F.last("__value", ignorenulls=True).over(upto)).where("__side = 1")
+    tails = both.groupBy(key, "__cell").agg(F.max(F.when(F.col("__side") == 0, F.struct(F.col(line), F.col("__value")))).alias("__tail"))
+    above = Window.partitionBy(key).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.withColumn("__carry", F.last("__tail", ignorenulls=True).over(above)["__value"]).drop("__tail")
+    return own.join(carried, [key, "__cell"]).withColumn(value, F.coalesce("__own", "__carry")).drop("__side", "__value", "__cell", "__own", "__carry")

@@ -68,7 +68,11 @@ def distribution(df: DataFrame, metric: str, limit: float, *keys: str) -> DataFr
 
 
 def top_per_group(df: DataFrame, group: str, order: Sequence[Column], n: int) -> DataFrame:
-    """The first ``n`` rows of each group with ``more``, the number left out."""
+    """The first ``n`` rows of each group with ``more``, the number left out.
+
+    The input is read twice on purpose: the rank limit is applied before the shuffle and the sizes are combined before
+    it, so of a hot group only ``n`` rows and one count leave each task. One window for both would move all its rows.
+    """
     ranked = Window.partitionBy(group).orderBy(*order)
     whole = df.groupBy(group).agg(F.count("*").alias("__all"))
     first = df.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= n)
@@ -85,3 +89,34 @@ def with_total(df: DataFrame, key: str, **sums: Column) -> DataFrame:
     """One row a key and a ``TOTAL`` row."""
     out = df.rollup(key).agg(F.grouping(key).alias("__g"), *(c.alias(n) for n, c in sums.items()))
     return out.withColumn(key, F.when(F.col("__g") == 1, "TOTAL").otherwise(F.col(key).cast("string"))).drop("__g")
+
+
+def with_shares(df: DataFrame, key: str, part: Column, total: str = "TOTAL") -> DataFrame:
+    """One row a key and a total row, with ``cell`` reading ``n of m``: rows that meet ``part`` of all rows."""
+    out = with_total(df, key, n=F.count_if(part), m=F.count("*"))
+    return out.select(F.when(F.col(key) == "TOTAL", total).otherwise(F.col(key)).alias(key), F.concat_ws(" of ", F.col("n").cast("string"), F.col("m").cast("string")).alias("cell"))
+
+
+def fold_max(parents: DataFrame, nested: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Parents with ``value`` raised to the greatest of their nested rows; nested rows without a parent are dropped."""
+    top = nested.groupBy(*keys).agg(F.max(value).alias("__top"))
+    return parents.join(top, list(keys), "left").withColumn(value, F.greatest(F.col(value), F.coalesce("__top", F.col(value)))).drop("__top")
+
+
+def upsert_metrics(rows: DataFrame, keys: Sequence[str], metric: str, value: str, defaults: dict[str, int]) -> DataFrame:
+    """One row a key with a column for each metric of ``defaults``; a metric that never arrives has its default.
+
+    Several values of one metric leave the greatest.
+    """
+    return rows.groupBy(*keys).agg(*(F.coalesce(F.max(F.when(F.col(metric) == m, F.col(value))), F.lit(d)).alias(m) for m, d in defaults.items()))
+
+
+def over_limits(df: DataFrame, metric: str, value: str, limits: dict[str, int]) -> DataFrame:
+    """Rows whose value is over the limit of their metric; a metric without a limit is never over."""
+    table = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))
+    return df.withColumn("limit", F.try_element_at(table, F.col(metric))).where(F.col(value) > F.col("limit"))
+
+
+def worst_first(df: DataFrame, ours: str, theirs: str, *ties: str) -> DataFrame:
+    """All rows by the size of their difference, the largest first."""
+    return df.withColumn("d", F.col(ours) - F.col(theirs)).orderBy(F.desc(F.abs("d")), *ties)

@@ -1,13 +1,13 @@
-"""Operators over source text: lines, rules, secrets, clones."""
+"""Operators over source text: lines, line rules, clones."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.strings import entropy
+from siltstone.scratch import cut
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -25,29 +25,14 @@ def rule_findings(table: DataFrame, rules: Sequence[tuple[str, str, str]]) -> Da
     return table.withColumn("rule", F.explode(F.array_compact(F.array(*hits))))
 
 
-def secrets(table: DataFrame, rules: Sequence[tuple[str, str, str, float]], allow: Sequence[str] = ()) -> DataFrame:
-    """Secrets in lines: rules of (name, keyword, regex with one group, entropy floor); the first rule wins a line.
+def clone_groups(docs: DataFrame, id_col: str, text_col: str, min_lines: int = 6, tests: Column | None = None) -> DataFrame:
+    """Groups of two and more rows with one normal form (lower case, white space collapsed): hash, n, first id, gated.
 
-    Columns id, line, rule, secret, bits. ``allow`` are regular expressions of values that are no secrets.
+    Rows of fewer than ``min_lines`` lines are no clones; a group whose rows are all ``tests`` is listed, not gated.
     """
-    found = None
-    for order, (name, key, pattern, floor) in enumerate(rules):
-        value = F.when(F.contains(F.lower("text"), F.lit(key.lower())), F.regexp_extract("text", pattern, 1))
-        hit = F.when(value != "", F.struct(F.lit(order).alias("o"), F.lit(name).alias("rule"), value.alias("secret"), F.lit(floor).alias("floor")))
-        found = [hit] if found is None else [*found, hit]
-    out = table.withColumn("hit", F.explode(F.array_compact(F.array(*found)))).select("id", "line", "hit.*").withColumn("bits", F.round(entropy(F.col("secret")), 6))
-    out = out.where("bits >= floor")
-    for pattern in allow:
-        out = out.where(~F.col("secret").rlike(pattern))
-    first = Window.partitionBy("id", "line").orderBy("o")
-    return out.withColumn("n", F.row_number().over(first)).where("n = 1").select("id", "line", "rule", "secret", "bits")
-
-
-def clone_groups(docs: DataFrame, id_col: str, text_col: str, min_lines: int = 1) -> DataFrame:
-    """Groups of two and more rows with one normal form (lower case, white space collapsed): hash, n, first id."""
     normal = F.trim(F.regexp_replace(F.lower(text_col), r"\s+", " "))
-    rows = docs.where(F.size(F.split(text_col, "\n")) >= min_lines).select(F.col(id_col).alias("id"), F.md5(normal).alias("hash"))
-    return rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
+    rows = docs.where(F.size(F.split(text_col, "\n")) >= min_lines).select(F.col(id_col).alias("id"), F.md5(normal).alias("hash"), (F.lit(False) if tests is None else tests).alias("test"))
+    return rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), (~F.bool_and("test")).alias("gated")).where("n > 1")
 
 
 def winnowed(docs: DataFrame, id_col: str, text_col: str, k: int = 5, window: int = 4) -> DataFrame:
@@ -59,26 +44,37 @@ def winnowed(docs: DataFrame, id_col: str, text_col: str, k: int = 5, window: in
     return split.select("id", F.explode(F.array_distinct(least)).alias("print"))
 
 
-def near_clones(docs: DataFrame, id_col: str, text_col: str, percent: int = 60, k: int = 5, window: int = 4, spread: int | None = None) -> DataFrame:
+def near_clones(docs: DataFrame, id_col: str, text_col: str, percent: int = 60, k: int = 5, window: int = 4) -> DataFrame:
     """Pairs (a, b, shared, similarity) of rows that share fingerprints: shared over the smaller set, in percent.
 
     Rows with equal text are one group (see ``clone_groups``) of which the least id is compared; rows with equal
-    fingerprint sets are one class, so a fingerprint joins classes and a frequent one costs their number squared.
-    With ``spread``, fingerprints found in more rows count for nothing but the set sizes: pairs are lost.
+    fingerprint sets are one class, and classes are compared. The smaller class of a pair must share a known part of
+    its prints, so one of its rarest prints is among them: only those ``n - need + 1`` prints are looked up among the
+    prints of larger classes. Frequent prints are looked up only where a set has no rarer ones; no pair is lost.
     """
     firsts = docs.groupBy(F.md5(text_col).alias("h")).agg(F.min_by(F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text")), id_col).alias("r")).select("r.*")
     prints = winnowed(firsts, "id", "text", k, window)
     sets = prints.groupBy("id").agg(F.sort_array(F.collect_list("print")).alias("prints"))
-    members = sets.select("id", F.sha2(F.array_join("prints", ","), 256).alias("class"), "prints")
-    classes = members.groupBy("class").agg(F.min_by("prints", "id").alias("prints"), F.count("*").alias("rows"))
-    sizes = classes.select("class", F.size("prints").cast("long").alias("n"))
-    each = classes.select("class", "rows", F.explode("prints").alias("print"))
-    told = each.groupBy("print").agg(F.sum("rows").alias("of")).where("of > 1" if spread is None else f"of between 2 and {int(spread)}").select("print")
-    held = each.join(told, "print")
-    x, y = held.select("print", F.col("class").alias("x")), held.select("print", F.col("class").alias("y"))
-    pairs = x.join(y, "print").where("x <= y").groupBy("x", "y").agg(F.count("*").alias("shared"))
-    nx, ny = sizes.select(F.col("class").alias("x"), F.col("n").alias("nx")), sizes.select(F.col("class").alias("y"), F.col("n").alias("ny"))
-    alike = pairs.join(nx, "x").join(ny, "y").withColumn("similarity", F.round(100.0 * F.col("shared") / F.least("nx", "ny"), 1)).where(F.col("similarity") >= percent)
+    members = cut(sets.select("id", F.sha2(F.array_join("prints", ","), 256).alias("class"), "prints"))
+    classes = members.groupBy("class").agg(F.any_value("prints").alias("prints"), F.count("*").alias("rows")).withColumn("n", F.size("prints").cast("long"))
+    each = classes.select("class", "n", F.explode("prints").alias("print"), "rows")
+    spread = each.groupBy("print").agg(F.count("*").alias("sets"), F.sum("rows").alias("of")).where("of > 1")
+    held = cut(each.join(spread, "print").select("class", "n", "print", "sets", "rows"))
+    need = F.ceil(F.lit((percent - 0.05) / 100) * F.col("n") - 1e-9)
+    rare = F.slice(F.sort_array(F.collect_list(F.struct("sets", "print"))), 1, F.greatest(F.first("n") - F.first("need") + 1, F.lit(1)).cast("int"))
+    first = held.withColumn("need", need).groupBy("class").agg(F.first("n").alias("n"), rare.alias("rare")).select(F.col("class").alias("x"), F.col("n").alias("nx"), F.explode("rare.print").alias("print"))
+    other = held.select(F.col("class").alias("y"), F.col("n").alias("ny"), "print")
+    pairs = first.join(other, "print").where("nx < ny or nx = ny and x <= y").select("x", "y", "nx").distinct()
+    whole = lambda name, prints: classes.select(F.col("class").alias(name), F.col("prints").alias(prints), F.col("rows").alias(f"{name}_rows"))
+    both = pairs.join(whole("x", "px"), "x").join(whole("y", "py"), "y").where("x <> y or x_rows > 1")
+    alike = both.select("x", "y", "nx", F.size(F.array_intersect("px", "py")).cast("long").alias("shared")).withColumn("similarity", F.round(100.0 * F.col("shared") / F.col("nx"), 1)).where(F.col("similarity") >= percent)
     one, two = members.select(F.col("id").alias("i"), F.col("class").alias("x")), members.select(F.col("id").alias("j"), F.col("class").alias("y"))
-    out = alike.join(one, "x").join(two, "y").where("x < y or i < j")
+    out = alike.join(one, "x").join(two, "y").where("x <> y or i < j")
     return out.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "shared", "similarity")
+
+
+def ranked_clones(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Near clones by size x similarity, the largest first; ``sizes(id, lines)``, the smaller side counts."""
+    a, b = (sizes.select(F.col("id").alias(x), F.col("lines").alias(f"lines_{x}")) for x in ("a", "b"))
+    weight = F.least("lines_a", "lines_b") * F.col("similarity")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "similarity", F.least("lines_a", "lines_b").alias("lines"), F.round(weight, 1).alias("weight")).orderBy(F.desc("weight"), "a", "b")

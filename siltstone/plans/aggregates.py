@@ -117,12 +117,12 @@ def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(spark, sf_dir, "signup").withColumn("r", F.row_number().over(order)).where("r > 1").select("id", "file", "line")
 
 
-VERSIONS = ["1.0", "1.0.1", "1.2", "1.10", "2.0", "2.0-rc1", "2.0-rc2", "v2.1", "10.0", "latest"]
+VERSIONS = ["1.0", "1.0.1", "1.2", "1.10", "2.0", "2.0-rc1", "2.0-rc2", "v2.1", "20240101123045678.1", "latest"]
 
 
 @query(f"""WITH v AS (SELECT DISTINCT p_brand AS name, ({VERSIONS!r})[p_partkey % 10 + 1] AS version FROM part),
-k AS (SELECT *, list_aggregate(list_transform(string_split(regexp_extract(version, '^v?([0-9]+(?:\\.[0-9]+)*)', 1), '.'), lambda x: lpad(x, 9, '0')), 'string_agg', '.') || '|' || regexp_replace(version, '^v?[0-9]+(\\.[0-9]+)*', '') AS key FROM v)
-SELECT name, version, row_number() OVER (PARTITION BY name ORDER BY key) AS place FROM k""")
+k AS (SELECT *, list_transform(list_filter(string_split(regexp_extract(version, '^v?([0-9]+(?:\\.[0-9]+)*)', 1), '.'), lambda x: x <> ''), lambda x: x::BIGINT) AS numbers, regexp_replace(version, '^v?[0-9]+(\\.[0-9]+)*', '') AS rest FROM v)
+SELECT name, version, row_number() OVER (PARTITION BY name ORDER BY numbers, rest) AS place FROM k""")
 def version_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = F.element_at(F.array(*map(F.lit, VERSIONS)), (F.col("p_partkey") % 10 + 1).cast("int"))
     told = table(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), pick.alias("version")).distinct()

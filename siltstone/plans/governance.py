@@ -76,13 +76,6 @@ def never_referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where("p_size % 10 <> 0").join(uses, "p_partkey", "left_anti").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 2 == 0).alias("public"))
 
 
-@query(f"WITH {ACCEPTED} SELECT isolation, sha256(string_agg(dst::VARCHAR, ',' ORDER BY dst)) AS fingerprint FROM acc GROUP BY isolation")
-def governance_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash of each isolation's accepted contract in canonical order."""
-    members = F.transform(F.sort_array(F.collect_list("dst")), lambda x: x.cast("string"))
-    return _accepted(spark).groupBy("isolation").agg(F.sha2(F.array_join(members, ","), 256).alias("fingerprint"))
-
-
 RULES = [("plain-http", "http://", r"http://[a-z]"), ("licence-line", "licen", r"(?i)licensed? under|mit license"), ("assigned-token", "token", r"token *= *\"[0-9a-f]{32}"), ("table-row", "|", r"\|[^|]+\|[^|]+\|")]
 
 
@@ -144,7 +137,7 @@ def largest_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("d", F.col("ours") - F.col("theirs")).where("abs(d) > 1").orderBy(F.desc(F.abs("d")), "file").limit(6)
 
 
-@query(f"""WITH RECURSIVE {modules_sql(2, acyclic=True)}, x AS (SELECT id AS root, id AS name, 0 AS depth FROM nodes WHERE id < 5 UNION SELECT root, dst, depth + 1 FROM x JOIN edges ON src = name WHERE NOT (root = 0 AND dst = 7) AND dst <> root)
+@query(f"""WITH RECURSIVE {modules_sql(2, acyclic=True)}, x AS (SELECT id AS root, id AS name, 0 AS depth FROM nodes UNION SELECT root, dst, depth + 1 FROM x JOIN edges ON src = name WHERE NOT (root = 0 AND dst = 7) AND dst <> root)
 SELECT root, name, min(depth) AS depth FROM x GROUP BY ALL""")
 def transitive_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = modules(spark, sf_dir, top=2, acyclic=True)
@@ -152,4 +145,4 @@ def transitive_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     requires = edges.select(F.col("src").alias("name"), one, F.col("dst").alias("dep"), F.lit("1").alias("dep_version"))
     none = nodes.where("false").select(F.col("id").alias("name"), one)
     excluded = spark.createDataFrame([(0, 7)], "root int, name int")
-    return records.resolve_packages(nodes.where("id < 5").select(F.col("id").alias("name"), one), requires, none, excluded).select("root", "name", "depth")
+    return records.resolve_packages(nodes.select(F.col("id").alias("name"), one), requires, none, excluded).select("root", "name", "depth")

@@ -10,6 +10,7 @@ from siltstone.operators import bands
 from siltstone.operators.scoring import percent
 from siltstone.plans.bindings import FINDINGS, findings, table
 from siltstone.plans.registry import registry
+from siltstone.sources.manifests import missing_installs
 
 QUERIES, ORACLE_SQL, query = registry()
 REACH = 360
@@ -48,11 +49,6 @@ def band_match_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("cls").agg(F.count("*").alias("n"))
 
 
-@query()
-def greedy_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bands.greedy_pairs(findings(spark, sf_dir, "error"), findings(spark, sf_dir, "purchase"), ["file", "cls"], "line", 720, "id", "id")
-
-
 SPANS = "spans AS (SELECT id AS s_id, file AS s_file, line AS s, line + 600 AS e FROM fnd WHERE engine = 'view')"
 
 
@@ -111,11 +107,11 @@ def any_near_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("recall", percent(F.col("found"), F.col("documented")))
 
 
-HOLDINGS = "g AS (SELECT DISTINCT p_brand AS g, l_suppkey AS f FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49)"
+HOLDINGS = "g AS (SELECT DISTINCT p_brand AS g, l_suppkey AS f FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
 def _holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, parts = table(spark, sf_dir, "lineitem").where("l_quantity >= 49"), table(spark, sf_dir, "part")
+    lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     return lines.join(parts, lines.l_partkey == parts.p_partkey).select(F.col("p_brand").alias("g"), F.col("l_suppkey").alias("f")).distinct()
 
 
@@ -146,9 +142,11 @@ def tolerance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recorded.join(measured, "tool").where("10 * abs(recorded - measured) > greatest(10, measured)")
 
 
-@query("SELECT c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def declared_not_installed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name")).join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("name")), "name", "left_anti")
+    """Customers are declared names, those with a pending order are installed."""
+    installed = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("name"))
+    return missing_installs(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name")), installed)
 
 
 @query("""SELECT p_partkey AS package, p_brand AS manifest, count(DISTINCT l_suppkey) AS n, string_agg(DISTINCT l_suppkey::VARCHAR, ',' ORDER BY l_suppkey::VARCHAR) AS ids

@@ -27,16 +27,34 @@ def severity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 PARTS = ["AV:N AV:A AV:L AV:P", "AC:L AC:H", "PR:N PR:L PR:H", "UI:N UI:R", "S:U S:C", "C:H C:L C:N", "I:H I:L I:N", "A:H A:L A:N"]
 
 
-@query()
+DIGITS = "p_partkey // {0} % {1}"
+
+
+def _weighed(metric: str, place: int) -> str:
+    """SQL of a metric's weight by the digit of the part key that spells it."""
+    options = PARTS[place].split()
+    scale = 1
+    for part in PARTS[:place]:
+        scale *= len(part.split())
+    weights = [severity.WEIGHTS[metric][x.split(":")[1]] for x in options]
+    return f"({weights})[{DIGITS.format(scale, len(options))} + 1]"
+
+
+@query(f"""WITH v AS (SELECT p_partkey AS id, {_weighed("AV", 0)} AS av, {_weighed("AC", 1)} AS ac, {_weighed("PR", 2)} AS pr, {_weighed("PR_CHANGED", 2)} AS prc, {_weighed("UI", 3)} AS ui, ({DIGITS.format(48, 2)}) = 1 AS changed,
+  {_weighed("C", 5)} AS c, {_weighed("I", 6)} AS i, {_weighed("A", 7)} AS a FROM part),
+b AS (SELECT id, changed, 1 - (1 - c) * (1 - i) * (1 - a) AS iss, 8.22 * av * ac * (CASE WHEN changed THEN prc ELSE pr END) * ui AS ease FROM v),
+m AS (SELECT id, changed, ease, CASE WHEN changed THEN 7.52 * (iss - 0.029) - 3.25 * power(iss - 0.02, 15) ELSE 6.42 * iss END AS impact FROM b),
+t AS (SELECT id, CASE WHEN impact <= 0 THEN 0 ELSE round(least((CASE WHEN changed THEN 1.08 ELSE 1.0 END) * (impact + ease), 10) * 100000)::BIGINT END AS whole FROM m)
+SELECT id, CASE WHEN whole % 10000 = 0 THEN whole / 100000.0 ELSE (whole // 10000 + 1) / 10.0 END AS score FROM t""")
 def cvss_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors spelled from part keys, scored; checked against published scores in the tests."""
+    """Vectors spelled from part keys, scored; the SQL computes the specification's formula from the same digits."""
     rest, pieces = F.col("p_partkey"), []
     for part in PARTS:
         options = part.split()
         pieces.append(F.element_at(F.array(*map(F.lit, options)), (rest % len(options) + 1).cast("int")))
         rest = F.floor(rest / len(options))
     vector = F.concat_ws("/", F.lit("CVSS:3.1"), *pieces)
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), vector.alias("vector")).withColumn("score", severity.base_score(F.col("vector")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), vector.alias("vector")).select("id", severity.base_score(F.col("vector")).alias("score"))
 
 
 EXPRESSIONS = ["MIT", "MIT OR GPL-3.0", "Apache-2.0 AND LGPL-2.1", "GPL-2.0", "Proprietary", "UNKNOWN", "MPL-2.0 OR (MIT AND GPL-3.0)", "BSD-3-Clause AND MIT"]
@@ -60,12 +78,19 @@ def package_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), package_url(pick("npm", "PyPI", "RubyGems", "crates.io", "Maven"), name, F.lit("1.0")).alias("purl"))
 
 
-@query("""SELECT p_size AS id, CASE WHEN p_size < 10 THEN '1.10' WHEN p_size < 20 THEN '1.10' WHEN p_size < 35 THEN '2.3' ELSE '2.3' END AS fixed FROM part GROUP BY p_size""")
+FIXES = ["1.2", "1.10", "2.3", "2.20.1", "3.0"]
+AS_NUMBERS = "list_transform(string_split({}, '.'), lambda v: v::INT)"
+
+
+@query(f"""WITH c AS (SELECT DISTINCT p_size AS id, p_size % 5 || '.' || p_size % 13 AS cur FROM part), f AS (SELECT unnest({FIXES!r}) AS fix),
+m AS (SELECT id, min_by(fix, {AS_NUMBERS.format("fix")}) FILTER (string_split(fix, '.')[1] = string_split(cur, '.')[1] AND {AS_NUMBERS.format("fix")} > {AS_NUMBERS.format("cur")}) AS own, max_by(fix, {AS_NUMBERS.format("fix")}) AS top FROM c, f GROUP BY id)
+SELECT id, coalesce(own, top) AS fixed FROM m""")
 def fixed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fix above the current version on its branch, else the highest: fixes 1.10 and 2.3."""
-    current = F.when(F.col("p_size") < 10, "1.2").when(F.col("p_size") < 20, "1.9.9").when(F.col("p_size") < 35, "2.0").otherwise("3.1")
-    fixes = F.array(F.lit("1.10"), F.lit("2.3"))
-    return table(spark, sf_dir, "part").select(F.col("p_size").alias("id")).distinct().withColumnRenamed("id", "p_size").select(F.col("p_size").alias("id"), fixed_version(fixes, current).alias("fixed"))
+    """The fix above the current version on its branch, else the highest."""
+    size = F.col("p_size")
+    current = F.concat_ws(".", (size % 5).cast("string"), (size % 13).cast("string"))
+    rows = table(spark, sf_dir, "part").select(size.alias("id"), current.alias("cur")).distinct()
+    return rows.select("id", fixed_version(F.array(*map(F.lit, FIXES)), F.col("cur")).alias("fixed"))
 
 
 @query("""WITH s AS (SELECT o_custkey AS id, o_orderkey AS step, o_orderpriority IN ('1-URGENT', '2-HIGH') AS required, o_orderstatus <> 'P' AS passed FROM orders)

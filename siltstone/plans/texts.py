@@ -32,34 +32,28 @@ def char_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH n AS (SELECT doc_id AS id, md5(regexp_replace(regexp_replace(lower(text), '[\t\n\x0b\f\r ]+', ' ', 'g'), '^ | $', '', 'g')) AS hash FROM documents)
 SELECT hash, count(*) AS n, min(id) AS first_id FROM n GROUP BY hash HAVING count(*) > 1""")
 def exact_clones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.clone_groups(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return text.clone_groups(table(spark, sf_dir, "documents"), "doc_id", "text", min_lines=1).drop("gated")
 
 
-@query(r"""WITH d AS (SELECT min(doc_id) AS id, text FROM documents GROUP BY text),
+CLONE_PAIRS = r"""d AS (SELECT min(doc_id) AS id, text FROM documents GROUP BY text),
 w AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '[\t\n\x0b\f\r ]+'), lambda x: x <> '') AS w FROM d),
 g AS (SELECT id, list_transform(range(len(w) - 4), lambda i: substr(md5(array_to_string(list_slice(w, i + 1, i + 5), ' ')), 1, 15)) AS g FROM w WHERE len(w) >= 5),
 p AS (SELECT DISTINCT id, list_min(list_slice(g, i + 1, i + 4)) AS print FROM g, unnest(range(greatest(len(g) - 4, 0) + 1)) AS u(i)),
-s AS (SELECT id, count(*) AS n FROM p GROUP BY id), t AS (SELECT print FROM p GROUP BY print HAVING count(*) BETWEEN 2 AND 200),
-j AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM p x JOIN p y ON x.print = y.print AND x.id < y.id WHERE x.print IN (SELECT print FROM t) GROUP BY ALL)
-SELECT a, b, shared, round(100.0 * shared / least(m.n, k.n), 1) AS similarity FROM j JOIN s m ON m.id = a JOIN s k ON k.id = b WHERE round(100.0 * shared / least(m.n, k.n), 1) >= 60""")
-def near_clones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.near_clones(table(spark, sf_dir, "documents"), "doc_id", "text", percent=60, spread=200)  # as its SQL
+s AS (SELECT id, count(*) AS n FROM p GROUP BY id), j AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM p x JOIN p y ON x.print = y.print AND x.id < y.id GROUP BY ALL),
+near AS (SELECT a, b, shared, round(100.0 * shared / least(m.n, k.n), 1) AS similarity FROM j JOIN s m ON m.id = a JOIN s k ON k.id = b WHERE round(100.0 * shared / least(m.n, k.n), 1) >= 60)"""
 
 
-SECRET_RULES = [
-    ("assigned-token", "token", r"(?:token|api_key)[ ]*=[ ]*\"([0-9a-f]{32,64})\"", 3.0),
-    ("assigned-secret", "secret", r"(?:secret|password)[ ]*=[ ]*\"([^\" ]{12,})\"", 3.0),
-]
+@query(f"WITH {CLONE_PAIRS} SELECT a, b, shared, similarity FROM near")
+def near_clones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.near_clones(table(spark, sf_dir, "documents"), "doc_id", "text", percent=60)
 
 
-@query(f"""WITH {LINES}, h AS (
-  SELECT id, line, 0 AS o, '{SECRET_RULES[0][0]}' AS rule, regexp_extract(text, '{SECRET_RULES[0][2]}', 1) AS secret FROM lin WHERE contains(lower(text), 'token')
-  UNION ALL SELECT id, line, 1, '{SECRET_RULES[1][0]}', regexp_extract(text, '{SECRET_RULES[1][2]}', 1) FROM lin WHERE contains(lower(text), 'secret')),
-c AS (SELECT id, line, o, rule, secret, ch, count(*)::DOUBLE AS k FROM h, unnest(string_split(secret, '')) AS u(ch) WHERE secret <> '' AND ch <> '' GROUP BY ALL),
-e AS (SELECT id, line, o, rule, secret, round(sum(k / length(secret) * log2(length(secret) / k)), 6) AS bits FROM c GROUP BY ALL)
-SELECT id, line, rule, secret, bits FROM e WHERE bits >= 3 QUALIFY row_number() OVER (PARTITION BY id, line ORDER BY o) = 1""")
-def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.secrets(text.lines(table(spark, sf_dir, "documents"), "doc_id", "text"), SECRET_RULES)
+@query(f"WITH {CLONE_PAIRS}, l AS (SELECT doc_id AS id, len(string_split(text, chr(10)))::INT AS lines FROM documents) SELECT a, b, similarity, least(x.lines, y.lines) AS lines, round(least(x.lines, y.lines) * similarity, 1) AS weight FROM near JOIN l x ON x.id = a JOIN l y ON y.id = b")
+def near_clone_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near clones by size x similarity."""
+    docs = table(spark, sf_dir, "documents")
+    sizes = docs.select(F.col("doc_id").alias("id"), F.size(F.split("text", "\n")).alias("lines"))
+    return text.ranked_clones(text.near_clones(docs, "doc_id", "text", percent=60), sizes)
 
 
 SHAPES = [
@@ -89,7 +83,7 @@ def id_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.groupBy("ident").agg(F.count("*").alias("n")).select("ident", id_shape(F.col("ident"), ["REQ", "TS", "ADR"]).alias("ok"), "n")
 
 
-KIT = ["blue", "misty", "powder", "lemon", "ghost", "linen", "ivory", "olive", "cream", "peach"]
+KIT = ["blut", "mistyx", "powder", "lemo", "ghosts", "linen", "ivori", "oliv", "cream", "peech", "smal", "larg", "steele", "coper"]
 
 
 @query(f"""WITH w AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS name FROM part), k AS (SELECT unnest({KIT!r}) AS kit)
@@ -106,17 +100,37 @@ def key_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), last_name(F.col("url")).alias("name"))
 
 
+SHORT_BLOCK = 500
+ANCHOR = 3
+
+
 @query("SELECT d.doc_id AS id, b.item_id AS item FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def documented_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages found verbatim: a 32-character head of the passage is the join key, the whole text decides.
+    """Benchmark passages found verbatim, wherever they start.
 
-    Each document's positions after white space (and the start) are keyed; a passage's head starts with no blank.
+    A passage's first and last words may be parts of longer ones, those between are whole words of any text that holds
+    it: the hash of the first ``ANCHOR`` of these is the join key and the whole text decides. Passages with fewer words
+    have no key and are tested as constants, ``SHORT_BLOCK`` in each pass over the texts.
     """
-    items = table(spark, sf_dir, "benchmark").where(F.length("text") >= 32).select("item_id", F.col("text").alias("passage"), F.substring("text", 1, 32).alias("head"))
-    short = table(spark, sf_dir, "benchmark").where(F.length("text") < 32).select("item_id", F.col("text").alias("passage"))
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    hashed = lambda w, at: F.xxhash64(*(F.get(w, at + k) for k in range(ANCHOR)))
+    items = table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.col("text").alias("passage"), words("text").alias("w"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    heads = docs.select("doc_id", F.explode(F.array_distinct(F.expr("regexp_extract_all(concat(' ', text), '(?s)(?=\\\\s(\\\\S.{31}))', 1)"))).alias("head"))
-    hits = heads.join(items.select("item_id", "head", "passage"), "head").select("doc_id", "item_id", "passage")
-    found = hits.join(docs, "doc_id").where(F.contains("text", F.col("passage"))).select(F.col("doc_id").alias("id"), F.col("item_id").alias("item"))
-    least = docs.join(short, F.contains("text", F.col("passage"))).select(F.col("doc_id").alias("id"), F.col("item_id").alias("item")) if short.head(1) else None
-    return found.distinct() if least is None else found.distinct().unionByName(least)
+    keyed = items.where(F.size("w") >= ANCHOR + 2).select("item_id", "passage", hashed(F.col("w"), F.lit(1)).alias("key"))
+    places = F.transform(F.sequence(F.lit(0), F.size("w") - ANCHOR), lambda i: hashed(F.col("w"), i))
+    keys = docs.select("doc_id", words("text").alias("w")).where(F.size("w") >= ANCHOR).select("doc_id", F.explode(F.array_distinct(places)).alias("key"))
+    hits = keys.join(keyed, "key").select("doc_id", "item_id", "passage")
+    out = hits.join(docs, "doc_id").where(F.contains("text", F.col("passage"))).select(F.col("doc_id").alias("id"), F.col("item_id").alias("item")).distinct()
+    short = items.where(F.size("w") < ANCHOR + 2).select("item_id", "passage")
+    block: list[tuple[int, str]] = []
+
+    def tested() -> DataFrame:
+        found = F.filter(F.array(*(F.struct(F.lit(i).alias("item"), F.lit(p).alias("p")) for i, p in block)), lambda x: F.contains("text", x["p"]))
+        return docs.select(F.col("doc_id").alias("id"), F.explode(found).alias("f")).select("id", F.col("f.item").alias("item"))
+
+    for row in short.toLocalIterator():
+        block.append((row["item_id"], row["passage"]))
+        if len(block) == SHORT_BLOCK:
+            out = out.unionByName(tested())
+            block = []
+    return out.unionByName(tested()) if block else out

@@ -12,10 +12,15 @@ LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typ
 
 
 def collapse_roots(roots: DataFrame) -> DataFrame:
-    """Roots (column ``root``) without those inside another root, which would be read twice."""
-    outer = roots.select(F.col("root").alias("outer"))
-    inside = F.startswith(F.col("root"), F.concat("outer", F.lit("/")))
-    return roots.distinct().join(F.broadcast(outer.distinct()), inside, "left_anti")
+    """Roots (column ``root``) without those inside another root, which would be read twice.
+
+    A root meets the folders above it by an equi-join, so roots are never held against all others.
+    """
+    parts = F.split("root", "/")
+    above = F.transform(F.filter(F.sequence(F.lit(1), F.size(parts)), lambda n: n < F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    whole = roots.distinct()
+    inside = whole.select("root", F.explode(above).alias("outer")).join(whole.select(F.col("root").alias("outer")), "outer").select("root")
+    return whole.join(inside, "root", "left_anti")
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.scratch import cut
+
 SARIF = "runs array<struct<results:array<struct<ruleId:string,message:struct<text:string>,properties:struct<tags:array<string>>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>>>>>"
 
 
@@ -76,17 +78,49 @@ def arrow_edges(texts: DataFrame, column: str) -> DataFrame:
     return scraped(texts, column, r'"?([\w./:$-]+)"?\s*->\s*"?([\w./:$-]+)"?', ["src", "dst"])
 
 
+def file_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """Edges (src, dst) between names as edges between files (name, path); a name without a file drops its edges."""
+    a, b = (files.select(F.col("name").alias(side), F.col("path").alias(f"{side}_path")) for side in ("src", "dst"))
+    return edges.join(a, "src").join(b, "dst").select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst")).where("src <> dst").distinct()
+
+
 def nested_spaces(texts: DataFrame, column: str, depth: int = 64) -> DataFrame:
-    """Functions of a metrics report nested in ``spaces`` to any depth up to ``depth``: (name, kind, start_line).
+    """Functions of a metrics report nested in ``spaces``: (name, kind, start_line).
 
-    Each level is one explode of JSON text, since a schema can't be recursive; levels end as soon as one is empty.
+    Each level is one explode of JSON text, since a schema can't be recursive. Levels end as soon as one is empty; a
+    report that goes on below ``depth`` raises.
     """
     node = "struct<name:string,kind:string,start_line:int,spaces:array<string>>"
-    level, out = texts.select(F.from_json(column, node).alias("n")), None
+    level, out = cut(texts.select(F.from_json(column, node).alias("n"))), None
     for _ in range(depth):
         rows = level.select("n.name", "n.kind", "n.start_line")
         out = rows if out is None else out.unionByName(rows)
-        level = level.select(F.explode("n.spaces").alias("s")).select(F.from_json("s", node).alias("n"))
+        level = cut(level.select(F.explode("n.spaces").alias("s")).select(F.from_json("s", node).alias("n")))
         if level.isEmpty():
-            break
-    return out
+            return out
+    raise ValueError(f"a report is nested deeper than {depth}")
+
+
+def changed_paths(diff: DataFrame, column: str, prefix: str = "") -> DataFrame:
+    """Changed paths (path, change) of name-status listings of a version comparison, below ``prefix`` and without it.
+
+    One line a file: ``A``, ``M``, ``D`` or ``T`` and the path; of a rename (``R100``) or copy the new path is added
+    and, for a rename, the old one deleted.
+    """
+    rows = diff.select(F.explode(F.split(column, "\n")).alias("row")).select(F.split("row", "\t").alias("f")).where(F.size("f") >= 2)
+    kind = F.substring(F.element_at("f", 1), 1, 1)
+    pair = F.when(kind == "R", F.array(F.struct(F.element_at("f", 2).alias("path"), F.lit("D").alias("change")), F.struct(F.try_element_at("f", F.lit(3)).alias("path"), F.lit("A").alias("change"))))
+    pair = pair.when(kind == "C", F.array(F.struct(F.try_element_at("f", F.lit(3)).alias("path"), F.lit("A").alias("change")))).otherwise(F.array(F.struct(F.element_at("f", 2).alias("path"), kind.alias("change"))))
+    told = rows.select(F.explode(pair).alias("p")).select("p.*").where(F.startswith("path", F.lit(prefix)))
+    return told.select(F.substring("path", len(prefix) + 1, 10_000).alias("path"), "change").distinct()
+
+
+def commit_log(log: DataFrame, column: str) -> DataFrame:
+    """Commits (seq, commit, path) of an exported log: blocks ``commit <hash>`` with one path a line, oldest first.
+
+    ``log`` has one row an export; ``seq`` counts the commits of a row in order.
+    """
+    blocks = log.select(F.posexplode(F.filter(F.split(column, "(?m)^commit "), lambda b: b != "")).alias("seq", "block"))
+    lines = F.split("block", "\n")
+    paths = F.filter(F.slice(lines, 2, F.size(lines)), lambda p: F.trim(p) != "")
+    return blocks.select((F.col("seq") + 1).cast("long").alias("seq"), F.trim(lines[0]).alias("commit"), F.explode(paths).alias("path"))

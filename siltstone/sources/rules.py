@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tomllib
 from collections.abc import Iterator
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.operators.rules import Allow, SecretRule
+
 
 def portable(pattern: str) -> str:
     """A rule's pattern in a form that Java reads: inline flags first, ``\\z`` spelled as Java spells it."""
@@ -27,6 +30,45 @@ def toml_rules(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows, "id string, description string, regex string, path string, entropy double, keywords array<string>")
 
 
+def secret_rules(text: str) -> tuple[list[SecretRule], list[tuple[str, str]], list[Allow]]:
+    """The rules of a TOML rule file: line rules, rules on file names, and the allow lists of all rules.
+
+    An allow list may name regular expressions, stopwords, paths, its ``regexTarget`` and an ``AND`` condition.
+    Literals that look like credentials are kept as hashes only.
+    """
+
+    def allow(entry: dict) -> Allow:
+        literal = lambda values: [v for v in values if looks_secret(v)]
+        regexes, words = entry.get("regexes", []), entry.get("stopwords", [])
+        hashed = [hashlib.sha256(v.encode()).hexdigest() for v in literal(regexes)] + [hashlib.sha256(w.lower().encode()).hexdigest() for w in literal(words)]
+        return Allow(
+            regexes=[portable(r) for r in regexes if not looks_secret(r)],
+            stopwords=[w.lower() for w in words if not looks_secret(w)],
+            hashes=hashed,
+            paths=[portable(p) for p in entry.get("paths", [])],
+            target={"line": "line", "match": "match"}.get(entry.get("regexTarget", ""), "secret"),
+            every=entry.get("condition", "OR").upper() == "AND",
+        )
+
+    whole = tomllib.loads(text)
+    lines, names = [], []
+    for r in whole.get("rules", []):
+        if "regex" not in r:
+            names.append((r["id"], portable(r["path"])))
+            continue
+        lists = [allow(a) for a in r.get("allowlists", [])]
+        path = portable(r["path"]) if "path" in r else None
+        lines.append(SecretRule(r["id"], portable(r["regex"]), tuple(r.get("keywords", [])), r.get("entropy"), r.get("secretGroup", 1), path, tuple(lists)))
+    common = [allow(a) for a in [whole.get("allowlist", {}), *whole.get("allowlists", [])] if a]
+    return lines, names, common
+
+
+def looks_secret(value: str) -> bool:
+    """The driver's form of ``functions.code.credential_like``."""
+    runs = [x for x in re.split(r"[^A-Za-z0-9_-]+", value) if len(x) >= 20]
+    return not re.search(r"[\\^$.|?*+()\[\]{}]", value) and any(re.search("[A-Za-z]", x) and re.search("[0-9]", x) for x in runs)
+
+
 class YamlError(ValueError):
     """A line that the YAML subset can't hold; the message names its number."""
 
