@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
 NOT_WORD = r"[\x20\x09-\x0D]+"
 
 
@@ -56,6 +59,23 @@ def lean(run):
     return wrapped
 
 
+@contextlib.contextmanager
+def shuffled_joins(spark: SparkSession) -> Iterator[None]:
+    """Joins that run within are planned as shuffles unless a broadcast is asked for, so small and large inputs take one
+    way and the needs of a large one can be told from a small one. Adaptive execution may still read a small side at once."""
+    planned, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before, own = spark.conf.get(planned), spark.conf.get(adaptive, None)
+    spark.conf.set(planned, "-1")
+    if own is None:
+        spark.conf.set(adaptive, before)
+    try:
+        yield
+    finally:
+        spark.conf.set(planned, before)
+        if own is None:
+            spark.conf.unset(adaptive)
+
+
 def shared_out(rows: DataFrame, table: DataFrame, keys: list[str], count: str, spread: list[str], how: str = "inner") -> DataFrame:
     """``rows`` joined with ``table`` (one row a key, ``count`` rows of ``rows`` have it), hot keys dealt to many tasks.
 
@@ -70,7 +90,7 @@ def shared_out(rows: DataFrame, table: DataFrame, keys: list[str], count: str, s
     salts = F.coalesce("__salts", F.lit(1))
     dealt = rows.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("__salts")
     copied = table.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts", count)
-    return dealt.join(copied, [*keys, "__salt"], how).drop("__salt")
+    return dealt.join(copied.hint("merge"), [*keys, "__salt"], how).drop("__salt")
 
 
 def let(value: Column, use) -> Column:
@@ -82,3 +102,15 @@ def word_list(text: Column) -> Column:
     """The words of a text as an array; null and blank texts give an empty one."""
     parts = F.split(F.coalesce(text, F.lit("")), NOT_WORD)
     return F.filter(parts, lambda w: w != "")
+
+
+def trimmed(text: Column) -> Column:
+    """A text without blanks at its ends."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def word_count(line: Column) -> Column:
+    """Words of a text without blanks at its ends, 0 for an empty one: its single blanks and one; only texts with other
+    blanks are cut up."""
+    plain = (F.instr(line, "  ") == 0) & (F.translate(line, BLANKS[1:], "") == line)
+    return F.when(line == "", 0).when(plain, F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).otherwise(F.size(F.split(line, NOT_WORD)))
