@@ -20,30 +20,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import let, shared_out
+from siltstone.llm.common import BLANKS, let, shared_out, trimmed, word_count
 from siltstone.scratch import cut, drop
 
 GRAM_LINES = 2
 WINDOW = 2
 LONG_WORDS = 50
-_BLANKS = " \t\n\x0b\x0c\r"
 _NULL_ID = 9223372036854775807
 
 
-def _trimmed(line: Column) -> Column:
-    return F.btrim(line, F.lit(_BLANKS))
-
-
-def _words(line: Column) -> Column:
-    """Words of a trimmed line: its single blanks and one; lines with other blanks are cut up."""
-    plain = (F.instr(line, "  ") == 0) & (F.translate(line, _BLANKS[1:], "") == line)
-    return F.when(plain, F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).otherwise(F.size(F.split(line, r"[\x20\x09-\x0D]+")))
-
-
 def _hashed(text: Column, long_words: int | None) -> Column:
     """The solid lines of a text as two 64-bit hashes and their number of words (0 where it isn't asked for)."""
-    solid = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), _trimmed), lambda line: line != "")
-    words = (lambda line: F.lit(0)) if long_words is None else _words
+    solid = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), trimmed), lambda line: line != "")
+    words = (lambda line: F.lit(0)) if long_words is None else word_count
     return F.transform(solid, lambda line: F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"), words(line).alias("w")))
 
 
@@ -54,15 +43,10 @@ def _stretch(lines: Column, start: Column, count: int) -> Column:
 
 
 def _long_runs(lines: Column, count: int, long_words: int) -> Column:
-    """The runs of ``count`` lines with ``long_words`` words, none of whose shorter runs has as many."""
+    """The runs of ``count`` lines with ``long_words`` words, in the shape of ``_fingerprints``."""
 
     def enough(i: Column) -> Column:
-        words = [F.get(lines, i + k)["w"] for k in range(count)]
-        inner = [sum(words[1:], F.lit(0)), sum(words[:-1], F.lit(0))] if count > 1 else []
-        out = sum(words, F.lit(0)) >= long_words
-        for less in inner:
-            out = out & (less < long_words)
-        return out
+        return sum((F.get(lines, i + k)["w"] for k in range(count)), F.lit(0)) >= long_words
 
     def told(i: Column) -> Column:
         stretch = _stretch(lines, i, count)
@@ -94,11 +78,11 @@ def _fingerprints(lines: Column, gram_lines: int, window: int, long_words: int |
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram_lines: int = GRAM_LINES, window: int = WINDOW, long_words: int | None = LONG_WORDS) -> DataFrame:
     """``docs`` with the lines of later repeated runs deleted from ``text_col``.
 
-    A run of ``gram_lines + window - 1`` non-blank lines repeats if the same trimmed lines start earlier: in a document
-    with a smaller id, or in the same document above. So does a run of fewer lines with at least ``long_words`` words
-    together, if no shorter run in it has as many (None: only runs of full length count). All runs are judged on the
-    input. Blank lines count for nothing and stay. All rows and columns stay; ``n_lines`` (non-blank lines),
-    ``n_removed`` and ``removed_lines`` (0-based numbers among all lines) are added and replace columns of that name.
+    A run of ``gram_lines + window - 1`` non-blank lines, or of fewer lines with at least ``long_words`` words together
+    (None: only by lines), repeats if the same trimmed lines start earlier: in a document with a smaller id, or in the
+    same document above. All runs are judged on the input. Blank lines count for nothing and stay. All rows and columns
+    stay; ``n_lines`` (non-blank lines), ``n_removed`` and ``removed_lines`` (0-based numbers among all lines) are added
+    and replace columns of that name.
 
     Edge cases: a null text stays null and has no lines; texts shorter than any run stay as they are. Rows with a null
     id come last. Rows with equal id and text are one document with one answer; rows with equal id and different
@@ -119,8 +103,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     later = cut(again.groupBy("__nid", "__th").agg(F.collect_set(F.struct("start", "len")).alias("__starts")), "later")
     drop(stretches, first)
 
-    wide = docs.select("*", *key).join(later, ["__nid", "__th"], "left")
-    solid = lambda line: F.translate(line, _BLANKS, "") != ""
+    wide = docs.select("*", *key).join(later.hint("merge"), ["__nid", "__th"], "left")
+    solid = lambda line: F.translate(line, BLANKS, "") != ""
 
     def result(lines: Column) -> Column:
         def told(full: Column) -> Column:
@@ -151,12 +135,14 @@ ORACLE = r"""
 WITH d AS (SELECT doc_id, text AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, i, ls[i] AS line, regexp_replace(ls[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS solid FROM d, unnest(range(1, len(ls) + 1)) AS u(i)),
 s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE solid <> ''),
-r AS (SELECT doc_id, i, p, solid || chr(10) || lead(solid) OVER w || chr(10) || lead(solid, 2) OVER w AS k FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
-later AS (SELECT doc_id, p FROM r WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1),
-gone AS (
-  SELECT doc_id, i FROM (
-    SELECT s.doc_id, s.i, count(later.p) OVER (PARTITION BY s.doc_id ORDER BY s.p ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n
-    FROM s LEFT JOIN later ON later.doc_id = s.doc_id AND later.p = s.p) WHERE n > 0),
+r AS (SELECT doc_id, p, solid || chr(10) || lead(solid) OVER w || chr(10) || lead(solid, 2) OVER w AS k3, CASE WHEN n >= 50 THEN solid END AS k1,
+      CASE WHEN n + lead(n) OVER w >= 50 THEN solid || chr(10) || lead(solid) OVER w END AS k2
+      FROM (SELECT *, len(regexp_extract_all(solid, '[^\x20\x09-\x0D]+')) AS n FROM s) WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+later AS (
+  SELECT doc_id, p, 3 AS size FROM r WHERE k3 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k3 ORDER BY doc_id, p) > 1
+  UNION ALL SELECT doc_id, p, 2 FROM r WHERE k2 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k2 ORDER BY doc_id, p) > 1
+  UNION ALL SELECT doc_id, p, 1 FROM r WHERE k1 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k1 ORDER BY doc_id, p) > 1),
+gone AS (SELECT DISTINCT s.doc_id, s.i FROM (SELECT doc_id, p + o AS p FROM later, unnest(range(size)) AS u(o)) x JOIN s USING (doc_id, p)),
 k AS (
   SELECT l.doc_id, count(*) FILTER (solid <> '') AS n_lines, count(gone.i) AS n_removed,
          string_agg(line, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL) AS kept

@@ -40,21 +40,69 @@ def test_quality_verdicts(spark, documents):
     assert got[1].clean_text == clean and got[5].clean_text == clean and got[1].lost_chars == 0
 
 
-def brute_lines(rows, length=3):
+def test_line_rules_against_patterns(spark):
+    """The rules as the fixed patterns state them, over random lines of marks, words and blanks."""
+    import random
+
+    from siltstone.llm import quality as rules
+
+    def fails(line):
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", line))
+        unended = not re.search(rules.LINE_END.replace("$", r"\Z"), line) and (words < 10 or not re.search(rules.SENTENCE_MARK, line))
+        symbols = 4 * len(re.findall(r"[#*$%&|<>]", line)) > words
+        shouted = 4 * len(re.findall(rules.SHOUTED_MARK, line)) > words or (words >= 5 and any(c.isupper() for c in line) and not any(c.islower() for c in line))
+        menu = len(re.findall(rules.SEPARATOR, line)) >= 2 and 5 * len(re.findall(rules.SEPARATOR, line)) >= words
+        return bool(unended or symbols or shouted or menu or words <= 25 and re.search(rules.BOILERPLATE, line))
+
+    rng = random.Random(9)
+    pieces = ["word", "Word", "WORD", "a", "|", "»", "!!", "?!", ".", ".)", '."', "end.", "end!”", "#", "$", "&", "  ", "\t", "Privacy policy", "log in", "read more", "cookies", "…", "12"]
+    lines = [" ".join(rng.choice(pieces) for _ in range(rng.randrange(1, 16))) for _ in range(1500)]
+    lines += [" ".join(["word"] * n) + t for n in (4, 9, 10, 24, 25, 26) for t in ("", ".", " Privacy policy", ". more", ' ."', '. "')]
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+    got = {r.i: r.f for r in df.select("i", rules.line_fails(F.col("line")).alias("f")).collect()}
+    assert [got[i] for i in range(len(lines))] == [fails(x) for x in lines]
+
+
+def brute_lines(rows, length=3, long_words=50):
+    """Runs of ``length`` lines, and shorter ones of ``long_words`` words."""
     lines = {i: [(n, x.strip(" \t\n\x0b\x0c\r")) for n, x in enumerate((t or "").split("\n")) if x.strip(" \t\n\x0b\x0c\r")] for i, t in rows}
+    words = lambda run: sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in run)
+
+    def runs(own):
+        for size in range(1, length + 1):
+            for p in range(len(own) - size + 1):
+                run = tuple(x for _, x in own[p : p + size])
+                if size == length or words(run) >= long_words:
+                    yield p, run
+
     first, out = {}, {}
     for i in sorted(lines):
-        for p in range(len(lines[i]) - length + 1):
-            first.setdefault(tuple(x for _, x in lines[i][p : p + length]), (i, p))
+        for p, run in sorted(runs(lines[i]), key=lambda x: x[0]):
+            first.setdefault(run, (i, p))
     for i, t in rows:
         own, gone = lines[i], set()
-        for p in range(len(own) - length + 1):
-            if first[tuple(x for _, x in own[p : p + length])] != (i, p):
-                gone |= {n for n, _ in own[p : p + length]}
+        for p, run in runs(own):
+            if first[run] != (i, p):
+                gone |= {n for n, _ in own[p : p + len(run)]}
         out[i] = (len(own), len(gone), None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone))
     return out
 
 
+def test_long_lines_and_hot_keys_against_brute_force(spark, documents, monkeypatch):
+    """Lines of 20 to 70 words that repeat in ones and twos, with every key counted as hot."""
+    import random
+
+    from siltstone.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    rng = random.Random(6)
+    pool = [prose(k, n) for k, n in enumerate([20, 30, 35, 49, 50, 70, 5])]
+    rows = [(i, rng.choice(["\n", "\n\n"]).join(rng.choice([*pool, prose(1000 + i, 9)]) for _ in range(rng.randrange(1, 6)))) for i in range(80)]
+    rows += [(200 + i, "\n".join([pool[5], pool[6]])) for i in range(150)]
+    got = dedup_lines(documents(rows).repartition(4)).collect()
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in got} == brute_lines(rows)
+
+
 def test_line_runs_against_brute_force(spark, documents):
     import random
 
@@ -123,3 +171,23 @@ def test_mixing_passes_shortage_to_siblings_first(spark, documents):
     path = {"domain": F.expr("case when source = 'other' then 'y' else 'x' end"), "source": F.col("source")}
     got = mix(documents(rows), path, {}, 200, max_epochs=1).groupBy("source").agg(F.sum("tokens").alias("n")).collect()
     assert {r.source: r.n for r in got} == {"small": 10, "big": 90, "other": 100}
+
+
+def test_mixing_of_one_id_and_long_texts(spark, documents, monkeypatch):
+    """A third of the rows share an id, one text is very long; the leaf is filled all the same, plan broadcast or not."""
+    from siltstone.llm import common, mixing
+
+    rows = [(7, prose(k % 3, 10 + k % 3), ("en", "a")) for k in range(300)] + [(1000 + k, prose(k, 12), ("en", "a")) for k in range(600)] + [(1, "w " * 40_000, ("en", "b"))]
+    path = {"lang": F.col("lang"), "source": F.col("source")}
+    take = lambda total: mix(documents(rows), path, {("en", "b"): 1, ("en", "a"): 1}, total, max_epochs=2, seed="q").collect()
+    out = take(14_000)
+    spent = {s: sum(r.tokens for r in out if r.source == s) for s in ("a", "b")}
+    assert spent["b"] == 0 and 7000 - 13 < spent["a"] <= 7000  # one document of 40,000 words is more than its share
+    assert {r.source for r in take(200_000)} == {"a", "b"}
+    epochs = {}
+    for r in out:
+        epochs[r.doc_id, r.tokens, r.epoch] = epochs.get((r.doc_id, r.tokens, r.epoch), 0) + 1
+    assert max(n for (i, _, _), n in epochs.items() if i != 7) == 1 and all(n <= 100 for n in epochs.values())
+    monkeypatch.setattr(mixing, "PLAN_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    assert sorted(map(str, take(14_000))) == sorted(map(str, out))
