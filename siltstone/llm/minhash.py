@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import words as W
-from siltstone.llm.common import bounded_batches, lean, shared_out, shuffle_partitions
+from siltstone.llm.common import bounded_batches, lean, shared_out, shuffle_partitions, shuffled_joins
 from siltstone.llm.components import connected_components
 from siltstone.llm.packed import mark, pack, unpacked
 from siltstone.scratch import cut, drop
@@ -231,24 +231,9 @@ def _links(pairs: DataFrame, texts: DataFrame, parts: int, size: int, lower: boo
     return rows.mapInArrow(lean(_confirm(size, lower, percent)), "a long, b long").distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, lower: bool = True
-) -> DataFrame:
-    """Groups of documents whose shingle sets have a Jaccard similarity of at least ``percent`` / 100.
-
-    Returns one row for each input row: ``id_col``, ``n_shingles``, ``component_id`` (least id reachable over links,
-    itself included) and ``kept`` (the document is its group's least id). The set of a text has its distinct
-    ``shingle_words``-word runs; ``lower`` folds A-Z. A pair at the threshold misses all bands with probability
-    ``(1 - (percent / 100) ** rows) ** bands`` (3e-6 by default).
-
-    Edge cases: null, empty and blank texts have no shingles and are linked with nothing; a text with fewer words
-    has one shingle. Rows with a null id are linked with nothing, get a null component and are kept. Rows that share
-    an id are one node: links of any of their texts count for all of them. Ids are integers. Other columns are
-    ignored, whatever their names.
-    """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    parts = shuffle_partitions(spark)
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, percent: int, bands: int, rows: int, lower: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: signatures of all rows, classes of equal sets, components (node, component) of linked classes."""
+    parts = shuffle_partitions(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     run, schema = _signatures(shingle_words, bands, rows, lower)
     signed = cut(plain.mapInArrow(lean(run), schema), "signed")
@@ -311,7 +296,29 @@ def near_duplicates(
 
     labels = connected_components(edges)
     drop(edges)
-    reps = classes.join(labels, classes.id == labels.node, "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))
-    own = signed.select("id", "n", "s1", "s2").join(reps, ["s1", "s2", "n"], "left")
+    return signed, classes, labels
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, lower: bool = True
+) -> DataFrame:
+    """Groups of documents whose shingle sets have a Jaccard similarity of at least ``percent`` / 100.
+
+    Returns one row for each input row: ``id_col``, ``n_shingles``, ``component_id`` (least id reachable over links,
+    itself included) and ``kept`` (the document is its group's least id). The set of a text has its distinct
+    ``shingle_words``-word runs; ``lower`` folds A-Z. A pair at the threshold misses all bands with probability
+    ``(1 - (percent / 100) ** rows) ** bands`` (3e-6 by default).
+
+    Edge cases: null, empty and blank texts have no shingles and are linked with nothing; a text with fewer words
+    has one shingle. Rows with a null id are linked with nothing, get a null component and are kept. Rows that share
+    an id are one node: links of any of their texts count for all of them. Ids are integers. Other columns are
+    ignored, whatever their names.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    with shuffled_joins(spark):
+        signed, classes, labels = _grouped(docs, id_col, text_col, shingle_words, percent, bands, rows, lower)
+    reps = classes.join(labels.hint("merge"), classes.id == labels.node, "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))
+    own = signed.select("id", "n", "s1", "s2").join(reps.hint("merge"), ["s1", "s2", "n"], "left")
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
     return own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

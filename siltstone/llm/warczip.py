@@ -31,6 +31,7 @@ from siltstone.llm.common import bounded_batches, shared_out, shuffle_partitions
 from siltstone.scratch import cut
 
 MEMBER_BYTES = 8 << 20
+SAME_ROWS = 100_000  # digests that several pages have: up to so many are broadcast
 RANGE_BYTES = 4 << 20
 DATE = "2000-01-01T00:00:00Z"
 
@@ -208,7 +209,9 @@ def write_packages(pages: DataFrame, uri: str, id_col: str = "page_id", url_col:
     bounded_batches(pages.sparkSession)
     rows = rows.withColumn("sha1", F.unhex(F.sha1("payload")))
     same = rows.where(F.octet_length("payload") >= min_revisit_bytes).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1")
-    told = shared_out(rows, cut(same), ["sha1"], "n", ["page_id"], "left").select("page_id", "url", "payload", "sha1", F.expr(f"case when octet_length(payload) >= {int(min_revisit_bytes)} and not page_id <=> last then last end").alias("refers_to"))
+    same = cut(same)
+    found = rows.join(F.broadcast(same), "sha1", "left") if same.count() <= SAME_ROWS else shared_out(rows, same, ["sha1"], "n", ["page_id"], "left")
+    told = found.select("page_id", "url", "payload", "sha1", F.expr(f"case when octet_length(payload) >= {int(min_revisit_bytes)} and not page_id <=> last then last end").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = pafs.FileSystem.from_uri(uri)

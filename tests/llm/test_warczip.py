@@ -73,3 +73,24 @@ def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     uri = f"file://{tmp_path}/w"
     assert read_packages(spark, write_packages(df, uri), uri).collect() == []
+
+
+def test_hot_and_very_long_payloads(spark, tmp_path, monkeypatch):
+    """One payload on most rows, one of several megabytes: one response for each payload, all bytes back."""
+    from siltstone.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 7)
+    long = "<p>" + "é x" * 2_000_000 + "</p>"
+    rows = [(k, f"http://x/{k}", "same" if k % 4 else None if k % 8 else "") for k in range(200)] + [(500, "http://l", long), (501, "http://m", long), (502, None, "one")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    packages = write_packages(pages, f"file://{tmp_path}/w")
+    got = {r.page_id: r for r in read_packages(spark, packages, f"file://{tmp_path}/w").collect()}
+    assert len(got) == len(rows)
+    last = {}
+    for i, _, html in rows:
+        last[html or ""] = max(last.get(html or "", -1), i)
+    for i, _, html in rows:
+        text = html or ""
+        first = last[text] == i
+        assert got[i].record_type == ("response" if first else "revisit") and got[i].refers_to == (None if first else last[text])
+        assert got[i].payload_bytes == len(text.encode()) and (bytes(got[i].payload) == text.encode() if first else got[i].payload is None)
