@@ -11,8 +11,9 @@
    is the similarity. At least ``threshold`` means contaminated. Edited copies (words replaced, dropped, inserted)
    lose a part of it.
 
-The items are the small side: they go to the tasks in blocks of ``block_items`` (their size is bounded by that
-parameter; a larger table takes more passes), the corpus is never shuffled and no pair of documents is formed.
+The items are the small side: they go to the tasks in blocks of at most ``block_items`` items and ``BLOCK_BYTES`` bytes
+(an item beyond that is a block of its own); a larger table takes more passes. The corpus is never shuffled and no pair
+of documents is formed. The driver holds one block at a time.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from siltstone.llm.common import bounded_batches, lean
 SEED_WORDS = 3
 THRESHOLD = 0.5
 BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 2_000_000
 STEPS = (1, 2)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 _WHOLE = np.uint64(0x9FB21C651E98DF25)
@@ -201,10 +203,13 @@ def contaminated(
 
 def _blocks(rows: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
     block: list[tuple[int, str]] = []
+    held = 0
     for r in rows.toLocalIterator():
-        block.append((r["item"], r["text"]))
-        if len(block) == size:
+        own = len(r["text"].encode())
+        if block and (len(block) == size or held + own > BLOCK_BYTES):
             yield block
-            block = []
+            block, held = [], 0
+        block.append((r["item"], r["text"]))
+        held += own
     if block:
         yield block

@@ -16,7 +16,11 @@ Skew: within a task, equal hashes are resolved before anything is shuffled. A ha
 once for each ``FLUSH`` windows, however many documents share it, and no reducer sees a group larger than the
 number of flushes. Nothing is dropped or capped. Everything is plain lineage: a lost executor costs a recomputation.
 
-Hashes have 64 bits: among n windows about n**2 / 2**65 pairs collide (0.0005 for 10**8 windows).
+Windows are equal if two independent hashes are, 96 bits together: among n windows about n**2 / 2**97 pairs are taken
+for equal and aren't (0.0006 for 10**13 windows, some 100 TB of text). Seeds have 64 bits; a collision of seeds only
+makes a window a candidate.
+
+The number of hash ranges grows with the input, so a task holds about ``RANGE_BYTES`` of entries at any size.
 """
 
 from __future__ import annotations
@@ -35,8 +39,24 @@ from siltstone.llm.packed import NULL_ID, mark, pack, unpacked
 
 FLUSH = 1_000_000
 WITNESS = 0xFFFFFFFF  # stands for a position that was flagged before
-_ENTRY = np.dtype([("h", "<u8"), ("doc", "<i8"), ("th", "<i4"), ("pos", "<u4")])
+_SEED = np.dtype([("h", "<u8"), ("doc", "<i8"), ("th", "<i4"), ("pos", "<u4")])
+_ENTRY = np.dtype([*_SEED.descr, ("g", "<u4")])
 BUCKETS = 1024
+RANGE_BYTES = 64 << 20
+_OTHER = np.uint64(0x2545F4914F6CDD1D)
+
+
+def ranges_for(docs: DataFrame, least: int = BUCKETS) -> int:
+    """Hash ranges for an input: ``least``, or one for each ``RANGE_BYTES`` of what Spark expects to read.
+
+    A word of about six bytes gives up to one entry in eight words; tables compress to about a third. Together a range
+    of entries is about as large as its part of the files. Where Spark has no size the texts are counted.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        size = docs.agg(F.sum(F.lit(1)).alias("n")).first()["n"] or 0
+        size *= 4096
+    return min(1 << 20, max(least, -(-size // RANGE_BYTES)))
 
 
 def _seeds(hashes: np.ndarray, seed_words: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,11 +82,14 @@ class _Sender:
 
     def __init__(self, buckets: int, earliest: bool):
         self.buckets, self.earliest, self.held, self.n = buckets, earliest, [], 0
+        self.kind = _ENTRY if earliest else _SEED
 
-    def add(self, h, doc, th, pos) -> Iterator[pa.RecordBatch]:
+    def add(self, h, doc, th, pos, g=None) -> Iterator[pa.RecordBatch]:
         if len(h):
-            entry = np.empty(len(h), dtype=_ENTRY)
+            entry = np.empty(len(h), dtype=self.kind)
             entry["h"], entry["doc"], entry["th"], entry["pos"] = h, doc, th, pos
+            if g is not None:
+                entry["g"] = g
             self.held.append(entry)
             self.n += len(h)
         if self.n >= FLUSH:
@@ -89,7 +112,7 @@ class _Sender:
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         starts, raw = np.concatenate([[0], cuts]), sent.tobytes()
         ends = np.concatenate([cuts, [len(sent)]])
-        size = _ENTRY.itemsize
+        size = self.kind.itemsize
         yield _rows([int(b) for b in bucket[starts]], None, [raw[a * size : b * size] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
         yield from flag_rows(entries[flags], self.buckets)
 
@@ -117,10 +140,11 @@ def resolve(entries: np.ndarray, earliest: bool) -> tuple[np.ndarray, np.ndarray
     ``earliest``: the first place of a hash passes and all other places are flagged; else every place of a hash
     with more than one is flagged. The same place twice (a row that is there twice) is one place.
     """
-    order = np.lexsort((entries["pos"], entries["th"], entries["doc"], entries["h"]))
+    hashes = [entries[name] for name in ("h", "g") if name in entries.dtype.names]
+    order = np.lexsort((entries["pos"], entries["th"], entries["doc"], *reversed(hashes)))
     e = entries[order]
     new_hash = np.ones(len(e), dtype=bool)
-    new_hash[1:] = e["h"][1:] != e["h"][:-1]
+    new_hash[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in hashes])
     heads = np.flatnonzero(new_hash)
     group = np.cumsum(new_hash) - 1
     same = (e["doc"] == e["doc"][heads][group]) & (e["th"] == e["th"][heads][group]) & (e["pos"] == e["pos"][heads][group])
@@ -136,7 +160,7 @@ def _reduce(earliest: bool):
         at = None
 
         def close() -> Iterator[pa.RecordBatch]:
-            e = np.frombuffer(b"".join(held), dtype=_ENTRY)
+            e = np.frombuffer(b"".join(held), dtype=_ENTRY if earliest else _SEED)
             held.clear()
             if not len(e):
                 return
@@ -179,15 +203,15 @@ def _resolved(mapped: DataFrame, parts: int, earliest: bool) -> DataFrame:
     return dealt.mapInArrow(lean(_reduce(earliest)), "doc long, th int, pos int").groupBy("doc", "th").agg(F.collect_list("pos").alias("places"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, seed_words: int = 6, buckets: int = BUCKETS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, seed_words: int = 6, buckets: int | None = None) -> DataFrame:
     """Remove every word covered by a ``window``-word run that starts earlier in the corpus.
 
     Earlier means a smaller id, or the same document at an earlier word; windows are judged on the input.
     Returns one row for each input row: ``id_col``, ``n_words``, ``n_removed``, ``spans`` (removed word intervals
     ``[start, end)``, maximal and in order) and ``kept_text`` (kept words joined by one space).
 
-    ``buckets`` is the number of hash ranges that are compared one at a time: a task holds one range's entries, about
-    24 bytes for each repeated-seed window of the corpus divided by ``buckets``.
+    ``buckets`` is the number of hash ranges that are compared one at a time (None: by the size of the input): a task
+    holds one range's entries, 28 bytes for each repeated-seed window of the corpus divided by ``buckets``.
 
     Edge cases: a null or blank text has no words and keeps the empty text; a text shorter than the window keeps
     all words. Rows with a null id come after all others. Rows with equal id and text are one document and get the
@@ -197,6 +221,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     bounded_batches(spark)
     parts = shuffle_partitions(spark)
+    if buckets is None:
+        buckets = ranges_for(docs.select(id_col, text_col))
 
     packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(pack), "id long, th int, no_id boolean, z binary").withColumnRenamed("id", "doc")
 
@@ -236,7 +262,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     seeded[word_off[i - a] + places[i].values.to_numpy()] = True
                 index = index[seeded[least[index]]]
                 row = np.searchsorted(word_off, index, side="right") - 1
-                yield from out.add(W.window_hashes(hashes, window)[index], doc[a:b][row], th[a:b][row], index - word_off[row])
+                other = W.window_hashes(W.mix(hashes ^ _OTHER), window)[index] >> np.uint64(32)
+                yield from out.add(W.window_hashes(hashes, window)[index], doc[a:b][row], th[a:b][row], index - word_off[row], other)
         yield from out.flush()
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,3 +57,28 @@ def test_empty_table_and_one_document(spark, documents):
     text = prose(9, 25)
     (row,) = remove_repeats(documents([(1, f"{text} between {text}")])).collect()
     assert row.n_removed == 25 and row.kept_text == f"{text} between"
+
+
+def test_ranges_grow_with_the_input(spark, documents, monkeypatch, tmp_path):
+    from siltstone.llm import substring_dedup
+
+    rows = [(k, f"{prose(k, 30)} {prose(1, 25)} {prose(2000 + k, 10)}") for k in range(60)]
+    documents(rows).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    assert substring_dedup.ranges_for(docs) == substring_dedup.BUCKETS
+    monkeypatch.setattr(substring_dedup, "RANGE_BYTES", 4)
+    assert substring_dedup.ranges_for(docs) > substring_dedup.BUCKETS
+    got = remove_repeats(docs).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == expected(rows, 20)
+
+
+def test_equal_hashes_need_a_second_hash():
+    """Entries with one window hash and different second hashes are different windows."""
+    import numpy as np
+
+    from siltstone.llm.substring_dedup import _ENTRY, resolve
+
+    entries = np.zeros(5, dtype=_ENTRY)
+    entries["h"], entries["g"], entries["doc"], entries["pos"] = 7, [1, 2, 1, 2, 3], [4, 1, 2, 3, 9], 0
+    keep, flags, _ = resolve(entries, earliest=True)
+    assert sorted(entries["doc"][keep].tolist()) == [1, 2, 9] and sorted(entries["doc"][flags].tolist()) == [3, 4]

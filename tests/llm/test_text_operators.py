@@ -66,6 +66,38 @@ def test_language_id(spark, documents, awkward):
     assert identify(documents([]), profiles).collect() == []
 
 
+def test_predictions_against_brute_force(spark, documents, awkward):
+    """Profiles and out-of-place distances counted by hand over dictionaries."""
+    rng = random.Random(11)
+    kinds = {"xx": ["lorna", "narol", "olan"], "yy": ["kishu", "shuki", "huik"], "zz": ["lorki", "nashu", "okil"]}
+    train = [(i, " ".join(rng.choice(kinds[k]) for _ in range(25)), (k, "s")) for i, k in enumerate(sorted(kinds) * 8)]
+    tested = [(100 + i, " ".join(rng.choice(kinds[k] + ["é1", "Zw"]) for _ in range(rng.randrange(1, 30)))) for i, k in enumerate(sorted(kinds) * 10)] + awkward
+
+    code = lambda g: sum(ord(c) << (21 * (len(g) - 1 - k)) for k, c in enumerate(g))
+
+    def ranked(texts, top):
+        total = {}
+        for t in texts:
+            for g, n in (grams_by_hand(t) if any(c.isalpha() for c in t) else {}).items():
+                total[g] = total.get(g, 0) + n
+        return sorted(map(code, total), key=lambda c: (-{code(g): n for g, n in total.items()}[c], c))[:top] if len(total) < 400 else [code(g) for g in sorted(total, key=lambda g: (-total[g], code(g)))[:top]]
+
+    plain = {k: ranked([t for _, t, (own, _) in train if own == k], 50) for k in kinds}
+    profiles = fit_profiles(documents(train), profile=50)
+    assert profiles == plain
+    got = {}
+    for r in identify(documents(tested), profiles, document_grams=40).collect():
+        got.setdefault((r.doc_id, r.text), (r.lang_pred, round(r.score, 9)))
+    for i, t in tested:
+        own = ranked([t or ""], 40)
+        if not own:
+            assert got[i, t] == ("und", 0.0)
+            continue
+        away = {k: sum(min(abs(p.index(g) - n), 50) if g in p else 50 for n, g in enumerate(own)) for k, p in plain.items()}
+        best = min(sorted(away), key=away.get)
+        assert got[i, t] == (best, round(1 - away[best] / (50 * len(own)), 9)), (i, t)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/a>Menu</a></li></ul></nav>
 <div class="sidebar">Side text that is rather long and goes on and on</div><div class="cookie-notice">We use cookies</div><!-- c -->
 <article><h1>Head &amp; more</h1><p>First   para<br>next line</p><script>var x="</p><p>no";</script><div class="ad">Buy now</div><p>Se<b>con</b>d &#233;&nbsp;x</p>
@@ -151,6 +183,21 @@ def test_contamination_finds_all_edited_copies(spark, documents):
     assert got == want and len({d for d, _ in want}) > 150
 
 
+def test_contamination_blocks_and_hot_documents(spark, documents, monkeypatch):
+    """One row an item, however often a document holds it; blocks end by bytes as well."""
+    from siltstone.llm import decontaminate
+
+    items = [(k, prose(700 + k, 20)) for k in range(12)]
+    hot = " ".join(items[k % 3][1] for k in range(600))
+    rows = [(1, hot), (2, f"{prose(1, 30)} {items[5][1]} {prose(2, 30)}"), (3, prose(3, 9000))]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted((r.doc_id, r.item_id, r.score, r.start, r.end) for r in contaminated(documents(rows), table).collect())
+    assert [x[:2] for x in whole] == [(1, 0), (1, 1), (1, 2), (2, 5)]
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 250)
+    assert len(list(decontaminate._blocks(table.select("item_id", "text").withColumnRenamed("item_id", "item"), 100))) > 4
+    assert sorted((r.doc_id, r.item_id, r.score, r.start, r.end) for r in contaminated(documents(rows), table).collect()) == whole
+
+
 def test_licenses(spark, documents, awkward):
     mit = dict(TEMPLATES[:1])["MIT"]
     lines = {700: "Released under the MIT License.", 701: "Licensed under the Apache License, Version 2.0.", 702: "This work is licensed under the GNU General Public License, version 3.", 703: "Licensed under CC BY-NC 4.0.", 704: mit.replace("furnished", "handed"), 705: " ".join(mit.split()[:20])}
