@@ -411,6 +411,18 @@ def unguarded(edges: DataFrame, changed: DataFrame, tests: DataFrame) -> DataFra
     return changed.select("id").distinct().join(reachable(edges, tests), "id", "left_anti")
 
 
+def upward_arcs(edges: DataFrame, layers: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Edges from a lower to a higher layer (``layers(id, layer)``; nodes without one are judged by nothing), and edges
+    into a composition root ``roots(id)``."""
+    a, b = (layers.select(F.col("id").alias(x), F.col("layer").alias(f"__{x}")) for x in ("src", "dst"))
+    told = edges.join(a, "src", "left").join(b, "dst", "left")
+    up = F.coalesce(F.col("__src") < F.col("__dst"), F.lit(False))
+    if roots is not None:
+        told = told.join(roots.select(F.col("id").alias("dst"), F.lit(True).alias("__root")).distinct(), "dst", "left")
+        up = up | F.coalesce("__root", F.lit(False))
+    return told.where(up).select("src", "dst")
+
+
 def collapsed(edges: DataFrame, facades: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
     """Edges with every facade ``facades(id)`` replaced by what it re-exports, through facades of facades.
 

@@ -102,6 +102,44 @@ def history_secrets(commits: DataFrame, rules: Sequence[SecretRule], allow: Sequ
     return found.groupBy("path", "rule", "secret").agg(F.min("line").alias("first_seen"))
 
 
+# Line rules of the general families as (rule, keyword, regular expression, weakness); Java and RE2 read
+# the expressions alike. The keyword is a part of every line that the expression matches.
+LINE_RULES = [
+    ("shell with a command text", "shell", r"shell\s*=\s*True|shell:\s*true", "CWE-78"),
+    ("system command", "system(", r"\bos\.system\(|\bRuntime\.getRuntime\(\)|(^|[^.\w])system\(", "CWE-78"),
+    ("evaluated text", "eval(", r"(^|[^.\w])eval\(\s*[^)\"'\s]", "CWE-95"),
+    ("statement put together", "select", r"(?i)[\"']\s*select\b[^\"']*[\"']\s*(\+|%|\.format\()", "CWE-89"),
+    ("path from outside", "..", r"open\([^)]*\.\./", "CWE-22"),
+    ("unsafe deserialisation", "load", r"\bpickle\.loads?\(|\byaml\.load\([^)]*\)|\bmarshal\.loads?\(", "CWE-502"),
+    ("certificates not verified", "verify", r"verify\s*=\s*False|verify_mode\s*=\s*ssl\.CERT_NONE", "CWE-295"),
+    ("connections without verification", "rejectunauthorized", r"rejectUnauthorized\s*:\s*false", "CWE-295"),
+    ("debug mode", "debug", r"\bDEBUG\s*=\s*True\b|debug\s*=\s*True\b", "CWE-489"),
+    ("weak hash", "md5", r"\b(hashlib\.)?md5\(|MessageDigest\.getInstance\(\"MD5\"\)", "CWE-327"),
+    ("weak cipher mode", "ecb", r"(?i)/ECB/|MODE_ECB", "CWE-327"),
+    ("weak randomness", "random", r"\bMath\.random\(\)|\brandom\.(random|randint|choice)\(.*(token|secret|key|password)", "CWE-338"),
+    ("token not verified", "verify_signature", r"verify_signature[\"']?\s*:\s*False", "CWE-347"),
+    ("cookie without flags", "cookie", r"(?i)(secure|httponly)\s*[:=]\s*false", "CWE-614"),
+    ("markup from data", "innerhtml", r"\.innerHTML\s*=\s*[^\"'\s;]", "CWE-79"),
+    ("forgery check off", "csrf", r"csrf_exempt|csrf\(\)\.disable\(\)|csrf\s*:\s*false", "CWE-352"),
+    ("every origin allowed", "*", r"(?i)access-control-allow-origin[\"']?\s*[:,]\s*[\"']?\*|origins?\s*=\s*\[?[\"']\*", "CWE-942"),
+    ("redirect from a parameter", "redirect", r"redirect\(\s*(request|req)\.", "CWE-601"),
+    ("secret in a log", "log", r"(?i)\blog(ger)?\.\w+\(.*(password|secret|token)", "CWE-532"),
+    ("plain address", "http://", r"(?i)[\"']http://[a-z0-9]", "CWE-319"),
+    ("file open to all", "chmod", r"chmod\s+(-R\s+)?0?777|os\.chmod\([^)]*0o777", "CWE-732"),
+    ("privileged container", "privileged", r"privileged:\s*true|--privileged\b", "CWE-250"),
+    ("image without a version", "from", r"^FROM\s+[^:@\s]+(:latest)?\s*$", "CWE-1104"),
+    ("fetched and run", "curl", r"curl\s[^|]*\|\s*(sudo\s+)?(ba|z)?sh\b", "CWE-829"),
+    ("message to any origin", "postmessage", r"postMessage\([^)]*[\"']\*[\"']\)", "CWE-346"),
+]
+
+
+def weaknesses(lines: DataFrame, families: Sequence[tuple[str, str, str, str]] = tuple(LINE_RULES)) -> DataFrame:
+    """(path, line, rule, cwe): one finding for each line (path, line, text) and rule; the keyword is tested first."""
+    low = F.lower("text")
+    hits = [F.when(F.contains(low, F.lit(key)) & F.col("text").rlike(pattern), F.struct(F.lit(rule).alias("rule"), F.lit(cwe).alias("cwe"))) for rule, key, pattern, cwe in families]
+    return lines.select("path", "line", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("path", "line", "h.*")
+
+
 @dataclass(frozen=True)
 class ScopeRule:
     """A rule on a unit or file: one line matches ``when`` and none matches ``without``, in files of ``path``."""

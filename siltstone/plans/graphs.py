@@ -143,8 +143,9 @@ def cycle_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 LAYER = "case n_regionkey when 0 then 1 when 1 then 2 when 2 then 2 when 3 then 3 else 1 end"
 
 
-@query(f"""WITH {GRAPH} SELECT src, dst FROM edges JOIN (SELECT n_nationkey AS src, {LAYER} AS ls FROM nation) USING (src) JOIN (SELECT n_nationkey AS dst, {LAYER} AS ld FROM nation) USING (dst) WHERE ls < ld""")
+@query(f"""WITH {GRAPH}, ly AS (SELECT n_nationkey AS id, {LAYER} AS l FROM nation WHERE n_nationkey <> 7) SELECT src, dst FROM edges LEFT JOIN ly a ON a.id = src LEFT JOIN ly b ON b.id = dst WHERE a.l < b.l OR dst = 12""")
 def upward_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation, edges = table(spark, sf_dir, "nation"), modules(spark, sf_dir)[1]
-    a, b = nation.select(F.col("n_nationkey").alias("src"), F.expr(LAYER).alias("ls")), nation.select(F.col("n_nationkey").alias("dst"), F.expr(LAYER).alias("ld"))
-    return edges.join(a, "src").join(b, "dst").where("ls < ld").select("src", "dst")
+    """Arcs up the layers of regions, and arcs into a composition root (12); node 7 has no layer."""
+    nation, (nodes, edges) = table(spark, sf_dir, "nation"), modules(spark, sf_dir)
+    layers = nation.where("n_nationkey <> 7").select(F.col("n_nationkey").alias("id"), F.expr(LAYER).alias("layer"))
+    return graph.upward_arcs(edges, layers, nodes.where("id = 12"))

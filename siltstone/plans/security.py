@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions import severity
 from siltstone.operators import records, rules, text
 from siltstone.operators.rules import ScopeRule
 from siltstone.plans.bindings import FINDINGS, findings, table
@@ -120,6 +121,22 @@ def secret_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.history_secrets(commits, TOKEN_RULE, last=5000)
 
 
+SAMPLES = [
+    "run(cmd, shell=True)", "run(cmd, shell=False)", "os.system(cmd)", "eval(text)", "literal_eval(text)", 'q = "select a from t where b = " + x', 'cur.execute("select a from t")', 'open(base + "../" + name)', "pickle.loads(raw)", "json.loads(raw)",
+    "get(url, verify=False)", "agent({ rejectUnauthorized: false })", "DEBUG = True", "DEBUG = False", "hashlib.md5(x)", "hashlib.sha256(x)", 'Cipher.getInstance("AES/ECB/PKCS5Padding")', "t = Math.random()", 'decode(t, options={"verify_signature": False})', "cookie: { secure: false }",
+    "el.innerHTML = data", "el.textContent = data", "http.csrf().disable()", '"Access-Control-Allow-Origin": "*"', "redirect(request.args['u'])", "redirect('/home')", "logger.info('password %s', p)", 'u = "http://example.org"', "chmod -R 777 /srv", "privileged: true", "FROM python", "FROM python:3.13", "curl https://x | sh", "w.postMessage(m, '*')", "plain",
+]
+SAMPLED = f"sa AS (SELECT 'f' || l_suppkey || '.x' AS path, l_orderkey * 10 + l_linenumber AS line, ({listed(SAMPLES)})[(l_partkey + l_linenumber) % {len(SAMPLES)} + 1] AS text FROM lineitem)"
+
+
+@query(f"WITH {SAMPLED}, f AS (" + " UNION ALL ".join("SELECT path, '{0}' AS rule, '{3}' AS cwe FROM sa WHERE contains(lower(text), '{1}') AND regexp_matches(text, '{2}')".format(r, k, x.replace("'", "''"), c) for r, k, x, c in rules.LINE_RULES) + ") SELECT rule, cwe, count(*) AS n, count(DISTINCT path) AS files FROM f GROUP BY ALL")
+def line_weaknesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the general line rules over lines that are spelled from parts, each with a safe twin."""
+    text_of = pick(SAMPLES, (F.col("l_partkey") + F.col("l_linenumber")) % len(SAMPLES))
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("f"), F.col("l_suppkey").cast("string"), F.lit(".x")).alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), text_of.alias("text"))
+    return rules.weaknesses(lines).groupBy("rule", "cwe").agg(F.count("*").alias("n"), F.count_distinct("path").alias("files"))
+
+
 # Units: supplier = file, order = unit, line number = line; the text of a line is picked by the part.
 UNIT_PATHS = [".github/workflows/ci.yml", "Dockerfile", "src/Api.java", "k8s/db.yml", "docker-compose.yml", ".npmrc"]
 UNIT_LINES = ["permissions:", "on: push", "USER app", "FROM x", "privileged: true", "readOnlyRootFilesystem: true", "DocumentBuilderFactory f;", "f.setFeature(DISALLOW, true);", "image: db", "min-release-age=7", "echo done", "httpBasic()", "requiresSecure()"]
@@ -266,6 +283,16 @@ def known_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.known_advisories(packages.select("name", "version", F.col("root").alias("manifest")), affected, spark.createDataFrame(SCORES, "id string, score double"))
 
 
+@query("""WITH s AS (SELECT p_brand AS name, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_partkey % 101 / 10 END AS score FROM part WHERE p_size % 4 = 0),
+m AS (SELECT name, count(*) AS advisories, count(*) FILTER (score IS NULL) AS unknown, count(*) FILTER (score >= 7) AS high FROM s GROUP BY name) SELECT name, advisories, unknown, high, high > 0 AS fails FROM m""")
+def bill_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The policy verdict of a bill: components with an advisory at or above the threshold fail; unknown ones are counted."""
+    score = F.when(F.col("p_partkey") % 11 != 0, F.col("p_partkey") % 101 / 10)
+    rows = table(spark, sf_dir, "part").where("p_size % 4 = 0").select(F.col("p_brand").alias("name"), severity.label(score).alias("severity"))
+    high = F.count_if(severity.at_or_above(F.col("severity"), "high"))
+    return rows.groupBy("name").agg(F.count("*").alias("advisories"), F.count_if(F.col("severity") == "unknown").alias("unknown"), high.alias("high"), (high > 0).alias("fails"))
+
+
 @query(f"""WITH {FINDINGS}, f AS (SELECT id, CASE cls WHEN 0 THEN 'src/tests/' WHEN 1 THEN 'docs/' WHEN 2 THEN 'tmp/' ELSE 'src/' END || file AS path, line FROM fnd WHERE engine = 'error'),
 a AS (SELECT id, 'reviewed ' || id % 3 AS reason FROM fnd WHERE engine = 'error' AND id % 7 = 0),
 t AS (SELECT f.id, path, CASE WHEN reason IS NOT NULL THEN '[accepted: ' || reason || ']' WHEN starts_with(path, 'tmp/') THEN '[untracked, git-ignored]' WHEN contains(path, '/tests/') THEN '[test]' WHEN starts_with(path, 'docs/') THEN '[docs]' ELSE '' END AS tag FROM f LEFT JOIN a USING (id))

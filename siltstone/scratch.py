@@ -54,6 +54,26 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return out
 
 
+class Gathered:
+    """Rows that rounds of a loop find, as one table: a union of written tables, written anew after every ``EVERY``."""
+
+    EVERY = 8
+
+    def __init__(self, first: DataFrame):
+        self.tables = [first]
+
+    def add(self, more: DataFrame) -> None:
+        self.tables.append(more)
+        if len(self.tables) > self.EVERY:
+            self.tables = [cut(self.all())]
+
+    def all(self) -> DataFrame:
+        out = self.tables[0]
+        for table in self.tables[1:]:
+            out = out.unionByName(table)
+        return out
+
+
 def drop(*tables: DataFrame | None) -> None:
     """Delete tables that ``cut`` made, once nothing reads them any more; None and other tables are passed over."""
     for table in tables:
