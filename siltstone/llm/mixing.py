@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import WORD, shared_out
 from siltstone.scratch import cut
 
-RANGE_ROWS = 4096
+RANGE_ROWS = 1024
 PLAN_ROWS = 100_000
 
 
