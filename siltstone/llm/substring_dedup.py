@@ -110,13 +110,21 @@ class _Sender:
         order = np.argsort(bucket, kind="stable")
         sent, bucket = sent[order], bucket[order]
         cuts = np.flatnonzero(np.diff(bucket)) + 1
-        starts, raw = np.concatenate([[0], cuts]), sent.tobytes()
-        ends = np.concatenate([cuts, [len(sent)]])
-        size = self.kind.itemsize
-        yield _rows([int(b) for b in bucket[starts]], None, [raw[a * size : b * size] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(sent)]])
+        yield _rows([int(b) for b in bucket[starts]], None, [_planes(sent[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
         yield from flag_rows(entries[flags], self.buckets)
 
 
+def _planes(entries: np.ndarray) -> bytes:
+    """The entries byte by byte, all first bytes before all second ones: high bytes are alike and take no room in a shuffle."""
+    return np.ascontiguousarray(entries.view(np.uint8).reshape(len(entries), entries.itemsize).T).tobytes()
+
+
+def _entries(blob: bytes, kind: np.dtype) -> np.ndarray:
+    planes = np.frombuffer(blob, dtype=np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
 def _rows(buckets, owners, blobs) -> pa.RecordBatch:
     doc, th = owners if owners is not None else ([None] * len(blobs), [None] * len(blobs))
     return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(doc, pa.int64()), pa.array(th, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "doc", "th", "blob"])
@@ -160,10 +168,10 @@ def _reduce(earliest: bool):
         at = None
 
         def close() -> Iterator[pa.RecordBatch]:
-            e = np.frombuffer(b"".join(held), dtype=_ENTRY if earliest else _SEED)
-            held.clear()
-            if not len(e):
+            if not held:
                 return
+            e = np.concatenate([_entries(blob, _ENTRY if earliest else _SEED) for blob in held])
+            held.clear()
             if earliest:
                 yield _places(e[resolve(e, True)[1]])
                 return
