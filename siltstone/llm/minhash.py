@@ -222,8 +222,8 @@ def _block_links(placed: DataFrame, texts: DataFrame, parts: int, size: int, low
 
 def _links(pairs: DataFrame, texts: DataFrame, parts: int, size: int, lower: bool, percent: int) -> DataFrame:
     """The pairs (p, x) whose full sets reach the threshold, as edges (a, b)."""
-    crowd = pairs.groupBy("p").agg(F.ceil(F.count("*") / F.lit(_MEMBERS)).alias("salts"))
-    dealt = pairs.join(crowd, "p").select("p", "x", F.expr("cast(pmod(xxhash64(x), salts) as int)").alias("salt"))
+    crowd = cut(pairs.groupBy("p").agg(F.count("*").alias("of"), F.ceil(F.count("*") / F.lit(_MEMBERS)).alias("salts")))
+    dealt = shared_out(pairs, crowd, ["p"], "of", ["x"]).select("p", "x", F.expr("cast(pmod(xxhash64(x), salts) as int)").alias("salt"))
     members = dealt.join(texts, dealt.x == texts.id).select("p", "salt", F.lit(1).alias("tag"), "id", "z")
     heads = dealt.select("p", "salt").distinct()
     pivots = heads.join(texts, heads.p == texts.id).select("p", "salt", F.lit(0).alias("tag"), "id", "z")
@@ -277,7 +277,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, pe
     labels = connected_components(edges)
     told = buckets.join(labels, buckets.id == labels.node, "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     left = cut(still(told), "left")
-    drop(buckets, labels)
+    drop(buckets)
     if left.head(1):
         sizes = facts.groupBy("id").agg(F.max("n").alias("n"), F.count("*").alias("sets"))
         rare = _alone(left, texts, shingle_words, lower).join(sizes, "id")
@@ -291,11 +291,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, pe
         blocks = members.groupBy("cluster").agg(F.expr(f"cast(ceil(sum(n) / {_BLOCK_SHINGLES}) as int)").alias("blocks"))
         placed = cut(members.join(blocks, "cluster").select("cluster", "id", "c", "blocks", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("own")))
         fewer, edges = edges, cut(edges.unionByName(_block_links(placed, texts, parts, shingle_words, lower, percent)), "edges")
-        drop(cluster, placed, fewer)
-    drop(left, texts)
-
-    labels = connected_components(edges)
-    drop(edges)
+        drop(cluster, placed, fewer, labels)
+        labels = connected_components(edges)
+    drop(left, texts, edges)
     return signed, classes, labels
 
 
