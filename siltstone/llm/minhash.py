@@ -285,8 +285,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, pe
         wider, left = left, cut(still(left.join(hopeless, "id", "left_anti")), "left")
         drop(wider)
     if left.head(1):
-        first = left.groupBy("key").agg(F.min("id").alias("a"))
-        cluster = connected_components(left.join(first, "key").select("a", F.col("id").alias("b")))
+        first = cut(left.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("of")))
+        cluster = connected_components(shared_out(left, first, ["key"], "of", ["id"]).select("a", F.col("id").alias("b")))
         members = left.select("id", "c").distinct().join(cluster, F.col("id") == F.col("node")).select("id", "c", F.col("component").alias("cluster")).join(sizes.select("id", "n"), "id")
         blocks = members.groupBy("cluster").agg(F.expr(f"cast(ceil(sum(n) / {_BLOCK_SHINGLES}) as int)").alias("blocks"))
         placed = cut(members.join(blocks, "cluster").select("cluster", "id", "c", "blocks", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("own")))

@@ -80,7 +80,7 @@ def test_predictions_against_brute_force(spark, documents, awkward):
         for t in texts:
             for g, n in (grams_by_hand(t) if any(c.isalpha() for c in t) else {}).items():
                 total[g] = total.get(g, 0) + n
-        return sorted(map(code, total), key=lambda c: (-{code(g): n for g, n in total.items()}[c], c))[:top] if len(total) < 400 else [code(g) for g in sorted(total, key=lambda g: (-total[g], code(g)))[:top]]
+        return [code(g) for g in sorted(total, key=lambda g: (-total[g], code(g)))[:top]]
 
     plain = {k: ranked([t for _, t, (own, _) in train if own == k], 50) for k in kinds}
     profiles = fit_profiles(documents(train), profile=50)
@@ -93,9 +93,10 @@ def test_predictions_against_brute_force(spark, documents, awkward):
         if not own:
             assert got[i, t] == ("und", 0.0)
             continue
-        away = {k: sum(min(abs(p.index(g) - n), 50) if g in p else 50 for n, g in enumerate(own)) for k, p in plain.items()}
+        worst = max(map(len, plain.values()))
+        away = {k: sum(min(abs(p.index(g) - n), worst) if g in p else worst for n, g in enumerate(own)) for k, p in plain.items()}
         best = min(sorted(away), key=away.get)
-        assert got[i, t] == (best, round(1 - away[best] / (50 * len(own)), 9)), (i, t)
+        assert got[i, t] == (best, round(1 - away[best] / (worst * len(own)), 9)), (i, t)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/a>Menu</a></li></ul></nav>
