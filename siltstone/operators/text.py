@@ -49,10 +49,14 @@ def near_clones(docs: DataFrame, id_col: str, text_col: str, percent: int = 60,
 
     Rows with equal text are one group (see ``clone_groups``) of which the least id is compared; rows with equal
     fingerprint sets are one class, and classes are compared. The smaller class of a pair must share a known part of
-    its prints, so one of its rarest prints is among them: only those ``n - need + 1`` prints are looked up among the
-    prints of larger classes. Frequent prints are looked up only where a set has no rarer ones; no pair is lost.
+    its prints, so one of its rarest is among them: of the prints that other sets have, all but ``need - 1`` are looked up
+    among the prints of larger classes, the rarest first. Frequent prints are looked up only where a set has no rarer
+    ones; no pair is lost.
     """
-    firsts = docs.groupBy(F.md5(text_col).alias("h")).agg(F.min_by(F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text")), id_col).alias("r")).select("r.*")
+    # dealt by a set number: partitions that adaptive execution joins by size would make few tasks of much hashing
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.md5(text_col).alias("h")).repartition(parts, "h")
+    firsts = dealt.groupBy("h").agg(F.min_by(F.struct("id", "text"), "id").alias("r")).select("r.*")
     prints = winnowed(firsts, "id", "text", k, window)
     sets = prints.groupBy("id").agg(F.sort_array(F.collect_list("print")).alias("prints"))
     members = cut(sets.select("id", F.sha2(F.array_join("prints", ","), 256).alias("class"), "prints"))
@@ -61,7 +65,7 @@ def near_clones(docs: DataFrame, id_col: str, text_col: str, percent: int = 60,
     spread = each.groupBy("print").agg(F.count("*").alias("sets"), F.sum("rows").alias("of")).where("of > 1")
     held = cut(each.join(spread, "print").select("class", "n", "print", "sets", "rows"))
     need = F.ceil(F.lit((percent - 0.05) / 100) * F.col("n") - 1e-9)
-    rare = F.slice(F.sort_array(F.collect_list(F.struct("sets", "print"))), 1, F.greatest(F.first("n") - F.first("need") + 1, F.lit(1)).cast("int"))
+    rare = F.slice(F.sort_array(F.collect_list(F.struct("sets", "print"))), 1, F.greatest(F.count("*") - F.first("need") + 1, F.lit(0)).cast("int"))
     first = held.withColumn("need", need).groupBy("class").agg(F.first("n").alias("n"), rare.alias("rare")).select(F.col("class").alias("x"), F.col("n").alias("nx"), F.explode("rare.print").alias("print"))
     other = held.select(F.col("class").alias("y"), F.col("n").alias("ny"), "print")
     pairs = first.join(other, "print").where("nx < ny or nx = ny and x <= y").select("x", "y", "nx").distinct()
