@@ -43,7 +43,7 @@ def line_fails(line: Column) -> Column:
     """
 
     def judged(facts: Column) -> Column:
-        bare, words, low = facts["bare"], facts["words"], facts["low"]
+        bare, words = facts["bare"], facts["words"]
         without = lambda chars: F.length(bare) - F.length(F.translate(bare, chars, ""))
         end = F.right(F.rtrim(bare, F.lit(CLOSERS)), F.lit(1))
         unended = ((end == "") | (F.instr(F.lit(ENDS), end) == 0)) & ((words < 10) | ~bare.rlike(SENTENCE_MARK))
@@ -51,13 +51,16 @@ def line_fails(line: Column) -> Column:
         shouted = (without("!?") >= 2) & (4 * _count(bare, SHOUTED_MARK) > words)
         capitals = (words >= 5) & ~bare.rlike(r"\p{Ll}") & bare.rlike(r"\p{Lu}")
         menu = (without(SEPARATORS) >= 2) & (5 * without(SEPARATORS) >= words)
-        stem = F.lit(False)
-        for s in STEMS:
-            stem = stem | F.contains(low, F.lit(s))
-        stock = (words <= 25) & stem & line.rlike(BOILERPLATE)
+        stock = (words <= 25) & let(F.lower(bare), stemmed) & line.rlike(BOILERPLATE)
         return unended | symbols | shouted | capitals | menu | stock
 
-    bare = let(trimmed(line), lambda b: F.struct(b.alias("bare"), word_count(b).alias("words"), F.lower(b).alias("low")))
+    def stemmed(low: Column) -> Column:
+        out = F.lit(False)
+        for s in STEMS:
+            out = out | F.contains(low, F.lit(s))
+        return out
+
+    bare = let(trimmed(line), lambda b: F.struct(b.alias("bare"), word_count(b).alias("words")))
     return let(bare, judged)
 
 
