@@ -87,12 +87,14 @@ def poms(files: DataFrame) -> DataFrame:
     told = _xml(files)
     own = F.coalesce("project.version", "project.parent.version")
     known = F.map_concat(F.col("properties"), F.create_map(F.lit("project.version"), own))
-    group = "project.parent.groupId"
-    base = [F.concat_ws(":", group, "project.parent.artifactId").alias("parent"), F.col("project.parent.version").alias("parent_version"), known.alias("known"), "path"]
+    place = [F.concat_ws(":", "project.parent.groupId", "project.parent.artifactId").alias("parent"), F.col("project.parent.version").alias("parent_version")]
     none = F.array().cast(f"array<{DEPENDENCY}>")
-    plain = told.select(*base, F.explode(F.coalesce("project.dependencies.dependency", none)).alias("d"), F.lit(False).alias("managed"))
-    fixed = told.select(*base, F.explode(F.coalesce("project.dependencyManagement.dependencies.dependency", none)).alias("d"), F.lit(True).alias("managed"))
-    rows = plain.unionByName(fixed)
+    listed = lambda at, managed: F.transform(F.coalesce(at, none), lambda d: F.struct(d.alias("d"), F.lit(managed).alias("managed"), *place))
+    both = told.select("path", known.alias("known"), listed("project.dependencies.dependency", False).alias("plain"), listed("project.dependencyManagement.dependencies.dependency", True).alias("fixed"))
+    # Exploded from columns of their own, or each dependency would hold the whole project. A filter on a column, or the
+    # one that Spark infers from the explosion of a bare one, would be pushed below and read each file again: so the
+    # parent comes out of the array too, and what is exploded is an expression.
+    rows = both.select("path", "known", F.explode(F.concat("plain", "fixed")).alias("e")).select("path", "known", "e.*")
     ref = F.regexp_extract(F.coalesce("d.version", F.lit("")), r"^\$\{([^}]+)\}$", 1)
     version = F.when(ref != "", F.coalesce(F.try_element_at("known", ref), F.lit(""))).otherwise(F.coalesce(F.trim("d.version"), F.lit("")))
     left_out = F.transform(F.coalesce("d.exclusions.exclusion", F.array().cast("array<struct<groupId:string,artifactId:string>>")), lambda e: F.concat_ws(":", e["groupId"], e["artifactId"]))

@@ -72,6 +72,20 @@ def test_poms(spark):
     assert {(r.name, r.version) for r in fixed.collect()} == {("g:a", "1.5"), ("g:m", "9")}
 
 
+def test_poms_read_a_file_once(spark):
+    """A large file is read once, and its dependencies don't carry it."""
+    dep = "<dependency><groupId>g</groupId><artifactId>a{}</artifactId><version>${{project.version}}</version></dependency>"
+    deps = lambda numbers: "<dependencies>" + "".join(map(dep.format, numbers)) + "</dependencies>"
+    pom = f"<project><parent><groupId>g</groupId><artifactId>p</artifactId><version>3</version></parent><dependencyManagement>{deps(range(50))}</dependencyManagement>{deps(range(50, 3000))}</project>"
+    files = [("pom.xml", pom), ("x/pom.xml", "<project><version>1</version></project>"), ("y/pom.xml", "no project"), ("z/pom.xml", None)]
+    got = manifests.poms(spark.createDataFrame(files, "path string, text string")).where("parent = 'g:p'")
+    assert {(r.name, r.managed) for r in got.collect()} == {(f"g:a{i}", i < 50) for i in range(3000)}
+    assert {tuple(r) for r in got.select("version", "exclusions", "parent_version", "manifest").withColumn("exclusions", F.size("exclusions")).distinct().collect()} == {("3", 0, "3", "pom.xml")}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_xml(") == 1
+    assert not any("project#" in line for line in plan.splitlines() if "Generate explode" in line)
+
+
 def test_yaml_subset(spark):
     assert rules.parse_yaml('a:\n  b: [1, "x # y"]\n  c: true # note\nd:\n  - e: 1\n    f: two\n  - g\nh: "q: r"\n') == {"a": {"b": [1, "x # y"], "c": True}, "d": [{"e": 1, "f": "two"}, "g"], "h": "q: r"}
     for bad, line in (("a: 1\na: 2\n", 2), ("a:\n  b: 1\n    c: 2\n", 3), ("a: [1\n", 1), ("just text\n", 1)):
