@@ -6,12 +6,15 @@ sort-merge join on (keys, cell) with the exact condition as a residual, never a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.scratch import cut, drop
+
 
 def _cell(line: Column, width: int) -> Column:
     return F.floor(line / F.lit(max(1, width))).cast("long")
@@ -134,3 +137,40 @@ def asof_at_or_above(points: DataFrame, marks: DataFrame, key: str, line: str, v
     above = Window.partitionBy(key).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     carried = tails.withColumn("__carry", F.last("__tail", ignorenulls=True).over(above)["__value"]).drop("__tail")
     return own.join(carried, [key, "__cell"]).withColumn(value, F.coalesce("__own", "__carry")).drop("__side", "__value", "__cell", "__own", "__carry")
+
+
+# Longs that a set fits into, holders in a block, and how many of them meet another block at a time.
+WORDS, BLOCK, SLICE = 16, 1024, 64
+
+
+def shared_members(held: DataFrame, least: int) -> DataFrame:
+    """(a, b, shared): all pairs a < b of holders that have ``least`` (1 or more) of their things in common.
+
+    ``held(g, f)``: holder ``f`` has thing ``g``; repeated rows count once, nulls are in no pair. Up to 64 * ``WORDS``
+    different things (counted) a holder's set is the bits of a few longs: blocks of holders meet and pairs are counted
+    as they stream past, so holders are shuffled once for each block, pairs never. With more things holders meet on
+    each thing. The table of blocks (or rows) stays in the shared folder for the result to read.
+    """
+    spark, held = held.sparkSession, cut(held.where("g is not null and f is not null").distinct())
+    things = held.select("g").distinct().limit(64 * WORDS + 1)
+    rows = sorted(r["g"] for r in things.collect())
+    if len(rows) > 64 * WORDS:
+        x, y = held.select("g", F.col("f").alias("a")), held.select("g", F.col("f").alias("b"))
+        return x.join(y, "g").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    words = range(max(1, math.ceil(len(rows) / 64)))
+    number = spark.createDataFrame([(g, i) for i, g in enumerate(rows)], things.select("g", F.lit(0).alias("n")).schema)
+    bit = lambda w: F.when(F.col("n").between(64 * w, 64 * w + 63), F.expr("shiftleft(1L, n % 64)")).otherwise(F.lit(0).cast("long"))
+    sets = cut(held.join(F.broadcast(number), "g").groupBy("f").agg(*(F.bit_or(bit(w)).alias(f"m{w}") for w in words)))
+    drop(held)
+    # Ranges are sampled, so the blocks are written: both sides of the join must see the same ones.
+    own = sets.repartitionByRange(max(1, math.ceil(sets.count() / BLOCK)), "f").withColumn("block", F.spark_partition_id())
+    blocks = cut(own.groupBy("block").agg(F.collect_list(F.struct("f", *(f"m{w}" for w in words))).alias("rows")))
+    drop(sets)
+    n = 1 + (blocks.agg(F.max("block")).first()[0] or 0)
+    parts = F.transform(F.sequence(F.lit(0), (F.size("rows") - 1).cast("int"), F.lit(SLICE)), lambda at: F.slice("rows", at + 1, SLICE))
+    tasks = math.ceil(n * (n + 1) / 16)
+    left = blocks.select(F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(n - 1))).alias("j"), "rows").select("i", "j", F.explode(parts).alias("xs")).repartition(tasks, "i", "j")
+    right = blocks.select(F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("rows").alias("ys")).repartition(tasks, "i", "j")
+    pairs = left.join(right, ["i", "j"]).select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y")).where("x.f < y.f")
+    shared = sum((F.bit_count(F.col(f"x.m{w}").bitwiseAND(F.col(f"y.m{w}"))) for w in words[1:]), F.bit_count(F.col("x.m0").bitwiseAND(F.col("y.m0"))))
+    return pairs.select(F.col("x.f").alias("a"), F.col("y.f").alias("b"), shared.cast("long").alias("shared")).where(F.col("shared") >= least)

@@ -192,9 +192,7 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {HOLDINGS} SELECT x.f AS a, y.f AS b, count(*) AS shared FROM g x JOIN g y ON x.g = y.g AND x.f < y.f GROUP BY ALL HAVING count(*) >= 12""")
 def scope_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = _holdings(spark, sf_dir)
-    x, y = held.select("g", F.col("f").alias("a")), held.select("g", F.col("f").alias("b"))
-    return x.join(y, "g").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 12")
+    return bands.shared_members(_holdings(spark, sf_dir), 12)
 
 
 @query("""WITH s AS (SELECT o_custkey AS id, count(*) AS specs, count(*) FILTER (o_orderstatus = 'F') AS automated FROM orders GROUP BY 1),

@@ -2,7 +2,10 @@
 
 import random
 
+import pytest
+
 from siltstone.operators import bands
+from siltstone.plans.joins import QUERIES
 
 
 def made(spark, seed, n=60):
@@ -54,3 +57,31 @@ def test_asof(spark):
     fm = spark.createDataFrame(marks, "file string, line long, value double")
     want = {i: max(((m, v) for g, m, v in marks if g == f and m <= n), default=(0, None))[1] for i, f, n in a}
     assert {r.id: r.value for r in bands.asof_at_or_above(fa, fm, "file", "line", "value").collect()} == want
+
+
+@pytest.mark.parametrize("most", ["bits", "blocks", "things"])
+def test_shared_members(spark, monkeypatch, most):
+    """All pairs by brute force: sets of two longs, many blocks of holders, more things than bits."""
+    if most != "bits":
+        monkeypatch.setattr(bands, "BLOCK", 7)
+        monkeypatch.setattr(bands, "SLICE", 3)
+    if most == "things":
+        monkeypatch.setattr(bands, "WORDS", 1)
+    draw = random.Random(5)
+    rows = [(f"g{draw.randrange(90)}", f"f{i % 40:02d}") for i in range(1200)] + [(f"g{i}", f) for i in range(90) for f in ("same", "also")]
+    rows += rows[:50] + [(None, "f01"), (None, "f02"), ("g1", None), ("g2", None), ("g3", "one")]
+    sets = {}
+    for g, f in rows:
+        if g is not None and f is not None:
+            sets.setdefault(f, set()).add(g)
+    for least in (1, 9):
+        want = {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least}
+        got = bands.shared_members(spark.createDataFrame(rows, "g string, f string"), least).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert bands.shared_members(spark.createDataFrame([], "g string, f string"), 1).collect() == []
+
+
+def test_scope_overlap_moves_holders(spark):
+    """Pairs are counted as they stream past: nothing gathers them by a and b."""
+    plan = QUERIES["scope_overlap"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan.split("Scan parquet")[0]
